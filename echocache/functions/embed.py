@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,35 +17,34 @@ from echocache.functions import text
 
 
 def _counter(dim: int):
-    """Arrow function: list of bucket numbers per row to a count per bucket."""
-
-    def count(buckets: pa.Array) -> pa.Array:
-        row = np.repeat(np.arange(len(buckets)), np.diff(buckets.offsets.to_numpy()))
-        flat = buckets.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(row * dim + flat, minlength=len(buckets) * dim)
-        ends = np.arange(0, len(buckets) * dim + 1, dim, dtype=np.int32)
+    """Arrow function: text per row to a count of its tokens per hash bucket."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        tokens = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+        words = tokens.flatten().cast(pa.binary())
+        digests = b"".join([hashlib.md5(word).digest() for word in words.to_pylist()])
+        bucket = np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) % dim
+        filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        slot = (row * dim + bucket)[filled]
+        counts = np.bincount(slot, minlength=len(tokens) * dim)
+        ends = np.arange(0, len(tokens) * dim + 1, dim, dtype=np.int32)
         return pa.ListArray.from_arrays(ends, counts.astype(np.float64))
 
     # Spark reads the hints as types, not as text.
-    count.__annotations__ = {"buckets": pa.Array, "return": pa.Array}
+    count.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(count, S.VECTOR)
 
 
-def hash_buckets(prompt: Column | str, dim: int) -> Column:
-    """The hash bucket of every token of the whole prompt."""
-    bucket = lambda token: F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim
-    return F.coalesce(F.transform(text.tokens(prompt), bucket), F.array().cast("array<bigint>"))
-
-
 def hash_vector(prompt: Column | str, dim: int = 256) -> Column:
-    """Built-in embedder: how many tokens of the prompt fall into each of ``dim`` buckets.
+    """Built-in embedder: how many tokens of the whole prompt fall into each of ``dim`` buckets.
 
-    Row by row, so there is no shuffle: hashing runs in the JVM, counting on Arrow batches. A
-    prompt without tokens gives a zero vector, which vector validation rejects.
+    Tokens are lower-case and separated by whitespace. The work is row by row on Arrow batches,
+    so there is no shuffle. A prompt without tokens gives a zero vector, which validation rejects.
     """
     if dim < 1:
         raise ValueError("dim must be at least 1")
-    return _counter(dim)(hash_buckets(prompt, dim))
+    return _counter(dim)(text.clean(prompt))
 
 
 def embed_hash(rows: DataFrame, prompt: str = "prompt", dim: int = 256) -> DataFrame:

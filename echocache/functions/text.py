@@ -32,7 +32,3 @@ def prompt_reason(prompt: Column | str) -> Column:
 def response_reason(response: Column | str) -> Column:
     return F.when(~is_filled(response), F.lit(S.RESPONSE_BLANK))
 
-
-def tokens(text: Column | str) -> Column:
-    """Lower-case whitespace-separated tokens of the whole text."""
-    return F.array_remove(F.split(F.lower(clean(text)), r"[\t\n\x0b\f\r ]+"), "")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echocache import schema as S
-from echocache.scratch import materialize
+from echocache.scratch import materialize, spread
 
 BLOCK_ROWS = 8192
 SCORE_DECIMALS = 12
@@ -36,6 +36,8 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def points(rows: np.ndarray, metric: str) -> np.ndarray:
     """Rows as compared: unit length for cosine, unchanged for the distances."""
+    if not np.isfinite(rows).all():
+        raise ValueError(S.VECTOR_NOT_FINITE)
     if metric != "cosine":
         return rows
     length = np.sqrt((rows * rows).sum(axis=1))
@@ -152,7 +154,7 @@ def _stripe(rows_in_cell: str, block_rows: int) -> Column:
     return F.ceil(F.col(rows_in_cell) / block_rows).cast("int")
 
 
-def _row_counts(requests: DataFrame, entries: DataFrame) -> tuple[int, int]:
+def row_counts(requests: DataFrame, entries: DataFrame) -> tuple[int, int]:
     n = F.count(F.lit(1)).alias("n")
     both = requests.agg(n).withColumn("side", F.lit(0)).union(entries.agg(n).withColumn("side", F.lit(1)))
     counted = {row.side: row.n for row in both.collect()}
@@ -167,17 +169,17 @@ def best_in_cells(
     floor: float = -np.inf,
     before: bool = False,
     block_rows: int = BLOCK_ROWS,
+    fits_block: bool = False,
 ) -> DataFrame:
     """The k closest entries of each request over the cells it shares with them.
 
     ``requests``: collection, cell, request_id, seq, vector. ``entries``: collection, cell, seq,
     vector. Returns collection, request_id, entry_seq, closeness and, for k > 1, place.
+    ``fits_block``: the caller counted both sides, and each fits one block.
     """
     cell = ["collection", "cell"]
-    request_rows, entry_rows = _row_counts(requests, entries)
-    if max(request_rows, entry_rows) <= block_rows:
-        sizes = None  # every cell fits one block
-    else:
+    sizes = None
+    if not fits_block:
         # Written out once: both sides read it, and its real size decides how it is joined.
         sizes = materialize(
             requests.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_requests"))
@@ -201,12 +203,11 @@ def best_in_cells(
         )
 
     block = [*cell, "request_stripe", "entry_stripe"]
+    left = striped(requests.select(*cell, "request_id", "seq", "vector"), "request", "entry")
+    right = striped(entries.select(*cell, "seq", "vector"), "entry", "request")
     local = (
-        striped(requests.select(*cell, "request_id", "seq", "vector"), "request", "entry")
-        .groupBy(*block)
-        .cogroup(
-            striped(entries.select(*cell, "seq", "vector"), "entry", "request").groupBy(*block)
-        )
+        spread(left, block).groupBy(*block)
+        .cogroup(spread(right, block).groupBy(*block))
         .applyInArrow(_block_kernel(metric, k, floor, before), _MATCH)
     )
     request = ["collection", "request_id"]

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from echocache.functions import vectors as V
 from echocache.operators.blockjoin import closeness, matrix, points
+from echocache.scratch import materialize
 
 # Rounding head-room when a cell is dropped: a cell that is this close to the limit is kept.
 _TOLERANCE = 1e-6
+# The cell of collections that are kept whole.
+_WHOLE = -1
 
 
 def one_cell(rows: DataFrame) -> DataFrame:
@@ -56,7 +59,8 @@ def pivot_cells(
 
     A request at distance d from a pivot can only match entries of that cell when
     d <= (largest pivot distance in the cell) + radius. Collections of at most
-    ``small_collection`` entries stay in one cell.
+    ``small_collection`` entries stay in one cell. The driver and the tasks hold the pivots and
+    one distance per pivot, whatever the size of the data.
     """
     pivots = pick_pivots(entries, metric, n_pivots)
     reach = radius(threshold, metric)
@@ -70,33 +74,35 @@ def pivot_cells(
             gaps = _distance(points(matrix(table["vector"]), metric), pivots)
             cell = gaps.argmin(axis=1)
             gap = gaps[np.arange(len(cell)), cell]
-            cell[table["n_entries"].to_numpy() <= small_collection] = -1
+            cell[table["n_entries"].to_numpy() <= small_collection] = _WHOLE
             table = table.drop_columns(["n_entries"])
             table = table.append_column("cell", pa.array(cell.astype("int32")))
             yield from table.append_column("gap", pa.array(gap)).to_batches()
 
-    placed = sized.mapInArrow(
-        assign, "collection string, seq long, vector array<double>, cell int, gap double"
-    )
-    cells = placed.groupBy("collection", "cell").agg(F.max("gap").alias("gap"))
-    per_collection = cells.groupBy("collection").agg(
-        F.collect_list(F.struct("cell", "gap")).alias("cells")  # at most n_pivots + 1 items
+    placed = materialize(
+        sized.mapInArrow(
+            assign, "collection string, seq long, vector array<double>, cell int, gap double"
+        ),
+        "cells",
     )
+    # At most one row per pivot, plus one for the collections kept whole.
+    used = {row.cell: row.gap for row in placed.groupBy("cell").agg(F.max("gap").alias("gap")).collect()}
+    limit = np.array([used.get(i, -np.inf) for i in range(len(pivots))]) + reach
+    whole = _WHOLE in used
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            lists = pa.concat_arrays(table["cells"].chunks)
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            cell = lists.flatten().field("cell").to_numpy(zero_copy_only=False)
-            gap = lists.flatten().field("gap").to_numpy(zero_copy_only=False)
-            far = _distance(points(matrix(table["vector"]), metric), pivots)
-            room = _TOLERANCE * (1.0 + np.abs(far).max(initial=0.0))
-            keep = (cell < 0) | (far[row, cell] <= gap + reach + room)
-            table = table.drop_columns(["cells"]).take(pa.array(row[keep]))
-            yield from table.append_column("cell", pa.array(cell[keep])).to_batches()
-
-    visits = requests.join(per_collection, "collection").mapInArrow(
+            far = _distance(points(matrix(pa.chunked_array([batch["vector"]])), metric), pivots)
+            room = _TOLERANCE * (1.0 + far.max(initial=0.0))
+            row, cell = np.nonzero(far <= limit + room)
+            if whole:
+                row = np.concatenate([row, np.arange(len(far))])
+                cell = np.concatenate([cell, np.full(len(far), _WHOLE)])
+            table = pa.Table.from_batches([batch]).take(pa.array(row))
+            yield from table.append_column("cell", pa.array(cell.astype("int32"))).to_batches()
+
+    # Visits to cells that a collection does not have meet no entries and disappear in the join.
+    visits = requests.mapInArrow(
         visit,
         "collection string, request_id string, seq long, vector array<double>, cell int",
     )

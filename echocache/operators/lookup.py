@@ -56,18 +56,22 @@ def nearest(
     right = _wanted(entries, "collection", "seq")
     if index == "pivots" and threshold is None:
         raise ValueError("index 'pivots' needs a threshold")
-    if threshold is not None and (index == "auto" or (index == "pivots" and n_pivots is None)):
-        blocks = math.ceil(right.count() / block_rows)
-        n_pivots = n_pivots or min(max(blocks, 1), MAX_PIVOTS)
-        index = "pivots" if index == "pivots" or blocks > 4 else "none"
+    fits_block = False
+    if index != "lsh":
+        request_rows, entry_rows = blockjoin.row_counts(left, right)
+        fits_block = index != "pivots" and max(request_rows, entry_rows) <= block_rows
+        blocks = math.ceil(entry_rows / block_rows)
+        if index == "auto":
+            index = "pivots" if threshold is not None and blocks > 4 else "none"
     if index == "pivots":
+        n_pivots = n_pivots or min(max(blocks, 1), MAX_PIVOTS)
         left, right = cells.pivot_cells(left, right, metric, threshold, n_pivots, block_rows)
     elif index == "lsh":
         left, right = cells.lsh_cells(left, right, metric, tables, bucket_length)
     else:
         left, right = cells.one_cell(left), cells.one_cell(right)
     floor = blockjoin.closeness_floor(threshold, metric)
-    found = blockjoin.best_in_cells(left, right, metric, k, floor, before, block_rows)
+    found = blockjoin.best_in_cells(left, right, metric, k, floor, before, block_rows, fits_block)
     return found.withColumn(
         "score", blockjoin.closeness_to_score(F.col("closeness"), metric)
     ).drop("closeness")

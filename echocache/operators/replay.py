@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from echocache import schema as S
 from echocache.operators import blockjoin
 from echocache.operators.rank import rank_within
-from echocache.scratch import materialize
+from echocache.scratch import materialize, spread
 
 CHUNK_ROWS = 50_000
 POLICIES = ("lru", "fifo")
@@ -134,6 +134,12 @@ class VectorCache:
         self.n = max(self.n, slot + 1)
 
 
+def to_score(closeness: float | None, metric: str) -> float | None:
+    if closeness is None or metric == "cosine":
+        return closeness
+    return (-closeness) ** 0.5 if metric == "l2" else -closeness
+
+
 def _digest(held) -> str:
     pairs = sorted((entry["entry_seq"], entry["used"]) for entry in held)
     return hashlib.md5(np.array(pairs, dtype=np.int64).tobytes()).hexdigest()
@@ -150,9 +156,7 @@ def _chunk_kernel(new_cache, metric: str, held_type: pa.DataType):
         whats = cache.prepare(left["what"]) if n else []
         answers = [cache.access(what, seq) for what, seq in zip(whats, seqs)]
         held = cache.held()
-        scores = [a[2] for a in answers]
-        if metric != "cosine":
-            scores = [None if s is None else (-s if metric == "l2sq" else (-s) ** 0.5) for s in scores]
+        scores = [to_score(a[2], metric) for a in answers]
         # One extra row carries the ending cache.
         return pa.table(
             {"collection": pa.array([key[0].as_py()] * (n + 1), pa.string()),
@@ -169,8 +173,10 @@ def _chunk_kernel(new_cache, metric: str, held_type: pa.DataType):
     return run
 
 
-def _replay(rows: DataFrame, starts: DataFrame | None, new_cache, metric, chunk_rows) -> DataFrame:
-    """``rows``: collection, request_id, seq, what. ``starts``: collection, held."""
+def _replay(
+    rows: DataFrame, starts: DataFrame | None, new_cache, metric, chunk_rows
+) -> tuple[DataFrame, DataFrame]:
+    """(results, ending caches). ``rows``: collection, request_id, seq, what; caches: collection, held."""
     what = new_cache().what
     held_type = pa.list_(
         pa.struct([("entry_seq", pa.int64()), ("used", pa.int64()),
@@ -185,8 +191,8 @@ def _replay(rows: DataFrame, starts: DataFrame | None, new_cache, metric, chunk_
 
     def run(requests: DataFrame, begins: DataFrame) -> DataFrame:
         return (
-            requests.groupBy(*chunk)
-            .cogroup(begins.select(*chunk, "held").groupBy(*chunk))
+            spread(requests, chunk).groupBy(*chunk)
+            .cogroup(spread(begins.select(*chunk, "held"), chunk).groupBy(*chunk))
             .applyInArrow(_chunk_kernel(new_cache, metric, held_type), _OUT.format(held=held_ddl))
         )
 
@@ -194,7 +200,9 @@ def _replay(rows: DataFrame, starts: DataFrame | None, new_cache, metric, chunk_
     largest = rows.groupBy("collection").count().agg(F.max("count")).first()[0] or 0
     if largest <= chunk_rows:
         placed = rows.withColumn("chunk", F.lit(0).cast("long"))
-        return run(placed, starts).where(results).select(*_RESULT)
+        # A collection that only has a starting cache is in the groups too and keeps it.
+        ran = run(placed, starts)
+        return ran.where(results).select(*_RESULT), ran.where(~results).select("collection", "held")
 
     number = F.floor((F.col("rank") - 1) / chunk_rows).cast("long")
     placed = materialize(
@@ -229,15 +237,12 @@ def _replay(rows: DataFrame, starts: DataFrame | None, new_cache, metric, chunk_
         )
     every = reduce(DataFrame.unionByName, rounds)
     final = every.groupBy(*chunk).agg(F.max("round").alias("round"))
-    return every.where(results).join(final, [*chunk, "round"]).select(*_RESULT)
-
-
-def _check(max_capacity: int, policy: str, chunk_rows: int) -> None:
-    S.check_capacity(max_capacity)
-    if policy not in POLICIES:
-        raise ValueError(f"a bounded replay needs policy {' or '.join(POLICIES)}. Got: {policy}")
-    if chunk_rows < 1:
-        raise ValueError("chunk_rows must be at least 1")
+    settled = every.join(final, [*chunk, "round"])
+    ends = settled.where(~results).join(last.withColumnRenamed("last", "chunk"), chunk)
+    ended = ends.select("collection", "held").unionByName(
+        starts.select("collection", "held").join(last, "collection", "left_anti")
+    )
+    return settled.where(results).select(*_RESULT), ended
 
 
 def starting_caches(entries: DataFrame, max_capacity: int) -> DataFrame:
@@ -259,34 +264,67 @@ def starting_caches(entries: DataFrame, max_capacity: int) -> DataFrame:
     return ordered.select("collection", held.alias("held"))
 
 
-def read_through_bounded(
+def bounded_replay(
     requests: DataFrame,
     max_capacity: int = S.DEFAULT_CAPACITY,
     threshold: float = S.DEFAULT_THRESHOLD,
     metric: str = "cosine",
     policy: str = "lru",
-    entries: DataFrame | None = None,
+    key: str | None = None,
+    starts: DataFrame | None = None,
     chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
-    """collection, request_id, seq, cache_hit, entry_seq, score for requests in ``seq`` order.
+) -> tuple[DataFrame, DataFrame]:
+    """(results, ending caches) of requests in ``seq`` order, from the caches in ``starts``.
 
-    The cache of a collection never holds more than ``max_capacity`` entries; a hit counts as a
-    use, a miss is stored and may push out one entry.
+    With ``key`` requests match on that column exactly, otherwise on their vectors.
     """
-    _check(max_capacity, policy, chunk_rows)
-    floor = blockjoin.closeness_floor(S.check_threshold(threshold), S.check_metric(metric))
+    S.check_capacity(max_capacity)
+    if policy not in POLICIES:
+        raise ValueError(f"a bounded replay needs policy {' or '.join(POLICIES)}. Got: {policy}")
+    if chunk_rows < 1:
+        raise ValueError("chunk_rows must be at least 1")
+    S.check_threshold(threshold)
+    S.check_metric(metric)
+    what = F.col(key).cast("string") if key else F.col("vector").cast(S.VECTOR)
     rows = requests.select(
         F.col("collection").cast("string").alias("collection"),
         F.col("request_id").cast("string").alias("request_id"),
         F.col("seq").cast("long").alias("seq"),
-        F.col("vector").cast(S.VECTOR).alias("what"),
+        what.alias("what"),
     )
-    starts = starting_caches(entries, max_capacity) if entries is not None else None
     return _replay(
-        rows, starts, lambda: VectorCache(max_capacity, policy, metric, floor), metric, chunk_rows
+        rows, starts, cache_maker(max_capacity, threshold, metric, policy, key), metric, chunk_rows
     )
 
 
+def cache_maker(max_capacity: int, threshold: float, metric: str, policy: str, key: str | None):
+    """A function that makes an empty cache, shipped to the tasks."""
+    if key:
+        return lambda: KeyCache(max_capacity, policy)
+    floor = blockjoin.closeness_floor(threshold, metric)
+    return lambda: VectorCache(max_capacity, policy, metric, floor)
+
+
+def read_through_bounded(
+    requests: DataFrame,
+    max_capacity: int = S.DEFAULT_CAPACITY,
+    threshold: float = S.DEFAULT_THRESHOLD,
+    metric: str = "cosine",
+    policy: str = "lru",
+    entries: DataFrame | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """collection, request_id, seq, cache_hit, entry_seq, score for requests in ``seq`` order.
+
+    The cache of a collection never holds more than ``max_capacity`` entries; a hit counts as a
+    use, a miss is stored and may push out one entry.
+    """
+    starts = starting_caches(entries, max_capacity) if entries is not None else None
+    return bounded_replay(
+        requests, max_capacity, threshold, metric, policy, starts=starts, chunk_rows=chunk_rows
+    )[0]
+
+
 def read_through_exact(
     requests: DataFrame,
     key: str,
@@ -295,11 +333,4 @@ def read_through_exact(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The same for exact repeats: requests with equal ``key`` match, others do not."""
-    _check(max_capacity, policy, chunk_rows)
-    rows = requests.select(
-        F.col("collection").cast("string").alias("collection"),
-        F.col("request_id").cast("string").alias("request_id"),
-        F.col("seq").cast("long").alias("seq"),
-        F.col(key).cast("string").alias("what"),
-    )
-    return _replay(rows, None, lambda: KeyCache(max_capacity, policy), "cosine", chunk_rows)
+    return bounded_replay(requests, max_capacity, policy=policy, key=key, chunk_rows=chunk_rows)[0]

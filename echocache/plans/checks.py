@@ -5,7 +5,7 @@ from __future__ import annotations
 from echocache import schema as S
 from echocache.functions.text import WHITESPACE
 from echocache.plans.queries import (
-    CHAT_DIM, CHAT_THRESHOLD, EVICT_CAPACITY, LOG_CAPACITY, ORDERED_THRESHOLD,
+    CHAT_DIM, CHAT_THRESHOLD, EVICT_CAPACITY, LOG_CAPACITY, ORDERED_THRESHOLD, STORE_CAPACITY,
 )
 from echocache.sources.tables import LATER, START, TURN_BITS, WEIGHTS
 
@@ -310,6 +310,28 @@ SELECT run.i AS seq, hit AS cache_hit, CASE WHEN hit THEN j ELSE -1 END AS entry
 FROM run LEFT JOIN serving ON serving.i = run.i WHERE run.i >= 0""",
     "lru_exact_read_through": _LRU,
     "read_through_lru": _LRU,
+    "stream_bounded_batches": _LRU,
+    "read_through_distance": f"""WITH {_ENTRIES}, {_REQUESTS}, {_best('l2sq', True)}
+SELECT r.request_id, coalesce(e.response, 'answer to ' || r.prompt) AS response, b.entry_id IS NOT NULL AS cache_hit,
+       round(b.score, 6) AS score, b.entry_id
+FROM requests r LEFT JOIN best b USING (request_id) LEFT JOIN entries e ON e.id = b.entry_id""",
+    "bounded_read_through": f"""WITH {_ENTRIES}, {_REQUESTS}, {_best('cosine', True)},
+hit AS (SELECT entry_id, max(ts) AS ts FROM best GROUP BY 1),
+old AS (SELECT collection, id, seq, greatest(accessed_s, coalesce(ts, 0)) AS accessed_s
+        FROM entries LEFT JOIN hit ON entry_id = id),
+base AS (SELECT collection, max(seq + 1) AS base FROM entries GROUP BY 1),
+fresh AS (
+  SELECT r.collection, 'entry-' || (base + row_number() OVER (PARTITION BY r.collection ORDER BY r.seq)) AS id,
+         r.seq + {LATER} AS seq, r.ts AS accessed_s
+  FROM requests r JOIN base USING (collection) WHERE r.request_id NOT IN (SELECT request_id FROM best)),
+n AS (SELECT collection, count(*) AS n FROM old GROUP BY 1),
+k AS (SELECT collection, count(*) AS k FROM fresh GROUP BY 1),
+pool AS (
+  SELECT *, row_number() OVER (PARTITION BY collection ORDER BY accessed_s, seq) AS place
+  FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh))
+SELECT collection, id, seq, accessed_s
+FROM pool LEFT JOIN n USING (collection) LEFT JOIN k USING (collection)
+WHERE place > greatest(0, least(coalesce(k, 0), coalesce(n, 0) + coalesce(k, 0) - {STORE_CAPACITY}))""",
     "stream_read_through_exact": _LRU,
     "stream_read_through_vectors": _LRU,
     "cache_table_checks": f"{_CHECKS} SELECT name, healthy, message, details, line FROM lines",

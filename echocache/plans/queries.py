@@ -21,11 +21,11 @@ from echocache.operators import replay as R
 from echocache.operators import report as RP
 from echocache.operators import validate as VA
 from echocache.plans import read_through as RT
-from echocache.scratch import scratch_path
+from echocache.scratch import materialize, scratch_path
 from echocache.sources import tables as TB
 from echocache.sources.store import CacheStore
 from echocache.streaming.snapshot import serve_batch
-from echocache.streaming.stateful import ROCKSDB, stream_read_through
+from echocache.streaming.stateful import ROCKSDB, serve_bounded_batch, stream_read_through
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,7 @@ CHAT_THRESHOLD = 0.6
 CHAT_DIM = 256
 LOG_CAPACITY = 20
 EVICT_CAPACITY = 80
+STORE_CAPACITY = 50
 ORDERED_THRESHOLD = 0.3
 
 
@@ -382,7 +383,7 @@ def _chat_entries(spark, folder):
         F.timestamp_seconds(F.lit(TB.START) + F.col("conv_id")).alias("ts"),
         "prompt", "response",
     )
-    return E.new_entries(_chat_embed(rows))[0]
+    return materialize(E.new_entries(_chat_embed(rows))[0], "entries")
 
 
 def _chat_read_through(spark, folder, entries):
@@ -498,6 +499,43 @@ def _streamed(spark, folder, key):
     return _served(spark.read.schema(answered.schema).parquet(out))
 
 
+@query
+def stream_bounded_batches(spark, folder):
+    """The request log as a stream, each micro-batch replayed from the caches before it."""
+    base = scratch_path(spark, "stream")
+    events = (
+        spark.readStream.schema(TB.table(spark, folder, "events").schema)
+        .option("pathGlobFilter", "events.parquet").parquet(folder)
+    )
+    serve = serve_bounded_batch(base, max_capacity=LOG_CAPACITY, key="key")
+    run = (
+        TB.log_columns(events).writeStream.foreachBatch(serve)
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return _served(spark.read.parquet(f"{base}/results"))
+
+
+@query
+def read_through_distance(spark, folder):
+    """Snapshot read-through by squared distance; misses go to a generator."""
+    outcome = RT.read_through(
+        TB.vector_requests(spark, folder), TB.vector_entries(spark, folder),
+        RT.from_generator(_echo), metric="l2sq", store="distance",
+    )
+    return _result(outcome.results)
+
+
+@query
+def bounded_read_through(spark, folder):
+    """Entries left in each collection after a snapshot read-through within capacity."""
+    entries = TB.vector_entries(spark, folder)
+    requests = TB.vector_requests(spark, folder).withColumn("seq", F.col("seq") + TB.LATER)
+    outcome = RT.read_through(requests, entries, RT.fixed_answer())
+    kept = RT.apply_to(entries, outcome, max_capacity=STORE_CAPACITY)
+    return kept.select("collection", "id", "seq", _seconds("last_accessed_at").alias("accessed_s"))
+
+
 @query
 def stream_snapshot_lookup(spark, folder):
     """The snapshot read-through of the dialogue, fed as a stream of stored requests."""

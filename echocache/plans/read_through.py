@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +23,15 @@ class ReadThrough:
     """``results`` has one row per answered request; the others say what changes in the store."""
 
     results: DataFrame
-    new_entries: DataFrame
     touched: DataFrame
     rejected: DataFrame
+    stored: DataFrame
+    issued: DataFrame
+
+    @cached_property
+    def new_entries(self) -> DataFrame:
+        """Answered misses as entries; ids are numbered only when this is asked for."""
+        return E.new_entries(self.stored, issued=self.issued)[0]
 
 
 def read_through(
@@ -57,20 +64,18 @@ def read_through(
         issued = E.issued_ids(entries)
     # The answers, possibly from a slow generator, are fetched once.
     answered = materialize(answered, "answered")
-    fresh, failed = E.new_entries(answered, issued=issued)
-    keep, _ = V.split(answered, V.entry_reason())
+    stored, failed = V.split(answered, V.entry_reason())
     columns = [
         "collection", "request_id", "prompt", "response", F.col("found").alias("cache_hit"),
         "score", "entry_id",
     ]
-    rejects = [
-        r.select(*S.REJECT.fieldNames()) for r in (blank, unusable, failed)
-    ]
+    rejected = [r.select(*S.REJECT.fieldNames()) for r in (blank, unusable, failed)]
     return ReadThrough(
-        results=served.select(*columns).unionByName(keep.select(*columns)),
-        new_entries=fresh,
+        results=served.select(*columns).unionByName(stored.select(*columns)),
         touched=served.where("entry_seq IS NOT NULL").select("collection", "entry_seq", "ts"),
-        rejected=rejects[0].unionByName(rejects[1]).unionByName(rejects[2]),
+        rejected=reduce(DataFrame.unionByName, rejected),
+        stored=stored,
+        issued=issued,
     )
 
 

@@ -29,3 +29,13 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of shuffle partitions.
+
+    The grouping that follows needs no further shuffle. A fixed number is asked for because its
+    work is computing, not bytes: by size alone the partitions would be merged into few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

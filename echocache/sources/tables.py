@@ -131,10 +131,8 @@ def log_columns(events: DataFrame) -> DataFrame:
 def one_hot(log: DataFrame, size: int = 100) -> DataFrame:
     """The log with a vector that is 1 at its key and 0 elsewhere."""
     at = F.col("key").cast("int")
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == at, 1.0).otherwise(0.0)
-    )
-    return log.withColumn("vector", vector)
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    return log.withColumn("vector", F.concat(zeros(at), F.array(F.lit(1.0)), zeros(size - 1 - at)))
 
 
 def log_entries(spark: SparkSession, folder: str) -> DataFrame:

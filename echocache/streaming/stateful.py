@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from echocache import schema as S
-from echocache.operators import blockjoin
-from echocache.operators.replay import KeyCache, VectorCache, _check
+from echocache.operators.replay import POLICIES, bounded_replay, cache_maker, to_score
+from echocache.scratch import materialize
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "collection string, request_id string, seq long, cache_hit boolean, entry_seq long, score double"
@@ -20,8 +20,8 @@ _OUT = "collection string, request_id string, seq long, cache_hit boolean, entry
 class CacheProcessor(StatefulProcessor):
     """Keeps a collection's cache in a state list of at most ``max_capacity`` rows."""
 
-    def __init__(self, new_cache: Callable, what: str, to_score: Callable):
-        self.new_cache, self.what, self.to_score = new_cache, what, to_score
+    def __init__(self, new_cache: Callable, what: str, metric: str):
+        self.new_cache, self.what, self.metric = new_cache, what, metric
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getListState("held", f"entry_seq long, used long, what {self.what}")
@@ -46,7 +46,7 @@ class CacheProcessor(StatefulProcessor):
                 "seq": batch["seq"].to_numpy(),
                 "cache_hit": [a[0] for a in answers],
                 "entry_seq": pd.array([a[1] for a in answers], dtype="Int64"),
-                "score": pd.array([self.to_score(a[2]) for a in answers], dtype="Float64"),
+                "score": pd.array([to_score(a[2], self.metric) for a in answers], dtype="Float64"),
             }
         )
 
@@ -54,19 +54,6 @@ class CacheProcessor(StatefulProcessor):
         pass
 
 
-def _run(requests: DataFrame, what, new_cache, to_score) -> DataFrame:
-    rows = requests.select(
-        F.col("collection").cast("string").alias("collection"),
-        F.col("request_id").cast("string").alias("request_id"),
-        F.col("seq").cast("long").alias("seq"),
-        what.alias("what"),
-    )
-    processor = CacheProcessor(new_cache, new_cache().what, to_score)
-    return rows.groupBy("collection").transformWithStateInPandas(
-        processor, outputStructType=_OUT, outputMode="Append", timeMode="None"
-    )
-
-
 def stream_read_through(
     requests: DataFrame,
     max_capacity: int = S.DEFAULT_CAPACITY,
@@ -78,18 +65,46 @@ def stream_read_through(
     """Streaming form of the bounded read-through; needs the RocksDB state store provider.
 
     With ``key`` requests match on that column exactly, otherwise on their vectors. Requests are
-    taken in ``seq`` order inside a trigger and in arrival order across triggers.
+    taken in ``seq`` order inside a trigger and in arrival order across triggers. A task holds
+    one collection's requests of one trigger: limit triggers with the source's rate options, or
+    use ``serve_bounded_batch``, which cuts hot collections into chunks.
     """
-    _check(max_capacity, policy, 1)
-    if key is not None:
-        return _run(
-            requests, F.col(key).cast("string"), lambda: KeyCache(max_capacity, policy), lambda s: s
-        )
-    floor = blockjoin.closeness_floor(S.check_threshold(threshold), S.check_metric(metric))
-    scores = {"cosine": lambda c: c, "l2sq": lambda c: -c, "l2": lambda c: (-c) ** 0.5}
-    return _run(
-        requests,
-        F.col("vector").cast(S.VECTOR),
-        lambda: VectorCache(max_capacity, policy, metric, floor),
-        lambda c: None if c is None else scores[metric](c),
+    S.check_capacity(max_capacity)
+    S.check_threshold(threshold)
+    S.check_metric(metric)
+    if policy not in POLICIES:
+        raise ValueError(f"a bounded cache needs policy {' or '.join(POLICIES)}. Got: {policy}")
+    what = F.col(key).cast("string") if key else F.col("vector").cast(S.VECTOR)
+    rows = requests.select(
+        F.col("collection").cast("string").alias("collection"),
+        F.col("request_id").cast("string").alias("request_id"),
+        F.col("seq").cast("long").alias("seq"),
+        what.alias("what"),
+    )
+    new_cache = cache_maker(max_capacity, threshold, metric, policy, key)
+    processor = CacheProcessor(new_cache, new_cache().what, metric)
+    return rows.groupBy("collection").transformWithStateInPandas(
+        processor, outputStructType=_OUT, outputMode="Append", timeMode="None"
     )
+
+
+def serve_bounded_batch(path: str, **options) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for the bounded read-through without a per-task limit.
+
+    Results go to ``path/results/batch=N`` and ending caches to ``path/caches/batch=N``. Batch N
+    starts from the latest caches before N and overwrites its own output, so it can run twice.
+    ``options`` are those of ``bounded_replay``.
+    """
+
+    def run(requests: DataFrame, batch: int) -> None:
+        spark = requests.sparkSession
+        starts = None
+        if batch > 0:
+            caches = spark.read.parquet(f"{path}/caches").where(F.col("batch") < batch)
+            starts = caches.groupBy("collection").agg(F.max_by("held", "batch").alias("held"))
+            starts = materialize(starts, "caches")
+        results, ends = bounded_replay(requests, starts=starts, **options)
+        results.write.mode("overwrite").parquet(f"{path}/results/batch={batch}")
+        ends.write.mode("overwrite").parquet(f"{path}/caches/batch={batch}")
+
+    return run
