@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echocache import schema as S
 from echocache.operators.entries import METADATA, counts, delete
 from echocache.operators.rank import rank_within
+from echocache.scratch import materialize
 
 
 def victim(entries: DataFrame, policy="lru") -> DataFrame:
@@ -44,11 +45,13 @@ def victims(
         raise ValueError(f"eviction policy must order by {', '.join(METADATA)}. Got: {extra}")
     k = F.coalesce("k", F.lit(0))
     over = F.coalesce("n", F.lit(0)) + k - max_capacity
-    need = (
+    # Written out, so that its real size decides how it meets the rows.
+    need = materialize(
         counts(known).withColumnRenamed("entries", "n")
         .join(counts(arriving).withColumnRenamed("entries", "k"), "collection", "full")
         .select("collection", (over if shrink else F.least(k, over)).alias("leaving"))
-        .where("leaving > 0")
+        .where("leaving > 0"),
+        "leaving",
     )
     pool = known.unionByName(arriving).join(need, "collection")
     ranked = rank_within(pool, ["collection"], list(order))
