@@ -196,7 +196,8 @@ def best_in_cells(
         if sizes is None:
             return rows.withColumns({f"{own}_stripe": F.lit(0), f"{other}_stripe": F.lit(0)})
         placed = rows.join(sizes, cell)
-        mine = F.pmod(F.xxhash64("seq"), F.col(f"{own}_stripes")).cast("int")
+        key = "request_id" if own == "request" else "seq"
+        mine = F.pmod(F.xxhash64(key), F.col(f"{own}_stripes")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_stripes") - 1))
         return placed.withColumn(f"{own}_stripe", mine).withColumn(f"{other}_stripe", every).drop(
             "request_stripes", "entry_stripes"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from echocache import schema as S
 from echocache.operators.rank import rank_within
 from echocache.operators.validate import clean_entries, entry_reason, split
+from echocache.scratch import materialize
 
 METADATA = ("collection", "id", "seq", "created_at", "last_accessed_at")
 
@@ -55,7 +56,8 @@ def new_entries(rows: DataFrame, ids: str = "sequential", issued: DataFrame | No
     if ids == "sequential":
         named = assign_ids(timed, issued)
     else:
-        named = timed.withColumn("id", F.uuid())
+        # Written out: random ids must not change when a task is run again.
+        named = materialize(timed.withColumn("id", F.uuid()), "entries")
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in S.ENTRY.fields]
     return named.select(*columns), rejected
 
@@ -85,4 +87,4 @@ def touch(entries: DataFrame, hits: DataFrame) -> DataFrame:
 def delete(entries: DataFrame, victims: DataFrame, key: str = "seq") -> DataFrame:
     """Entries that are not among the victims, matched by ``seq`` or ``id`` in their collection."""
     on = ["collection", key]
-    return entries.join(victims.select(*on), on, "left_anti")
+    return entries.join(victims.select(*on), on, "left_anti").select(*entries.columns)

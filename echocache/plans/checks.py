@@ -241,7 +241,9 @@ SELECT seq, round(list_cosine_similarity(v, list_reverse(v)), 6) AS cosine FROM
     "vector_l2": f"""WITH {_ENTRIES}
 SELECT seq, round(list_distance(v, list_reverse(v)) ** 2, 6) AS l2sq,
        round(list_distance(v, list_reverse(v)), 6) AS l2 FROM entries""",
-    "embed_hash": f"WITH {_DOC_BUCKETS} SELECT doc_id, bucket::INT AS bucket, n FROM b",
+    "embed_hash": f"""WITH {_DOC_BUCKETS}, shown AS (
+  SELECT doc_id, string_agg(bucket || ':' || n::INT, ' ' ORDER BY bucket) AS buckets FROM b GROUP BY 1)
+SELECT doc_id, coalesce(buckets, '') AS buckets FROM documents LEFT JOIN shown USING (doc_id)""",
     "nearest_cosine": _nearest("cosine"),
     "nearest_indexed": _nearest("cosine"),
     "nearest_l2sq": _nearest("l2sq"),

@@ -190,8 +190,12 @@ def vector_l2(spark, folder):
 @query
 def embed_hash(spark, folder):
     docs = TB.table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
-    vectors = EM.embed_hash(docs, dim=CHAT_DIM)
-    return vectors.select("doc_id", F.posexplode("vector").alias("bucket", "n")).where("n > 0")
+    counted = F.filter(
+        F.transform("vector", lambda n, b: F.struct(b.alias("b"), n.cast("int").alias("n"))),
+        lambda x: x["n"] > 0,
+    )
+    shown = F.array_join(F.transform(counted, lambda x: F.concat_ws(":", x["b"], x["n"])), " ")
+    return EM.embed_hash(docs, dim=CHAT_DIM).select("doc_id", shown.alias("buckets"))
 
 
 # Lookup
