@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echocache import schema as S
 from echocache.functions import vectors as V
 from echocache.operators.blockjoin import closeness, matrix, points
 from echocache.scratch import materialize
@@ -36,15 +37,33 @@ def radius(threshold: float, metric: str) -> float:
     return float(np.sqrt(max(squared[metric], 0.0)))
 
 
-def _distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return np.sqrt(-closeness(left, right, "l2sq"))
+class Pivots:
+    """A fixed small set of entries, numbered, held by the driver and sent to the tasks.
 
+    They are the ``n_pivots`` entries with the smallest hashed key. Collections may have different
+    dimensions; a row is only measured against pivots of its own.
+    """
 
-def pick_pivots(entries: DataFrame, metric: str, n_pivots: int) -> np.ndarray:
-    """The ``n_pivots`` entries with the smallest hashed key: a fixed small set on the driver."""
-    order = F.xxhash64("collection", "seq")
-    rows = entries.orderBy(order, "collection", "seq").select("vector").limit(n_pivots).collect()
-    return points(np.array([row.vector for row in rows], dtype=float), metric)
+    def __init__(self, entries: DataFrame, metric: str, n_pivots: int):
+        order = F.xxhash64("collection", "seq")
+        rows = entries.orderBy(order, "collection", "seq").select("vector").limit(n_pivots).collect()
+        by_size: dict[int, list] = {}
+        for number, row in enumerate(rows):
+            by_size.setdefault(len(row.vector), []).append((number, row.vector))
+        self.metric, self.n = metric, len(rows)
+        self.groups = {
+            size: (np.array([n for n, _ in group]), points(np.array([v for _, v in group]), metric))
+            for size, group in by_size.items()
+        }
+
+    def distances(self, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, pivot numbers, distance of each row to each pivot) for each dimension."""
+        sizes = np.diff(vectors.offsets.to_numpy())
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            number, pivots = self.groups.get(int(size), (np.empty(0, int), np.empty((0, size))))
+            part = points(matrix(pa.chunked_array([vectors.take(pa.array(rows))])), self.metric)
+            yield rows, number, np.sqrt(-closeness(part, pivots, "l2sq"))
 
 
 def pivot_cells(
@@ -62,21 +81,31 @@ def pivot_cells(
     ``small_collection`` entries stay in one cell. The driver and the tasks hold the pivots and
     one distance per pivot, whatever the size of the data.
     """
-    pivots = pick_pivots(entries, metric, n_pivots)
+    pivots = Pivots(entries, metric, n_pivots)
     reach = radius(threshold, metric)
 
-    counts = entries.groupBy("collection").agg(F.count(F.lit(1)).alias("n_entries"))
-    sized = entries.join(counts, "collection")
+    size = F.size("vector")
+    known = entries.groupBy("collection").agg(
+        F.count(F.lit(1)).alias("n_entries"), F.min(size).alias("low"), F.max(size).alias("high")
+    )
+    # Dropped cells would hide unequal dimensions, so they are looked for here.
+    uneven = F.raise_error(F.lit(S.VECTOR_DIMENSION)).cast(S.VECTOR)
+    same = (size == F.col("low")) & (size == F.col("high"))
+    checked = F.when(same, F.col("vector")).otherwise(uneven).alias("vector")
+    sized = entries.join(known, "collection").select("collection", "seq", checked, "n_entries")
+    asked = requests.join(known, "collection").select("collection", "request_id", "seq", checked)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            gaps = _distance(points(matrix(table["vector"]), metric), pivots)
-            cell = gaps.argmin(axis=1)
-            gap = gaps[np.arange(len(cell)), cell]
-            cell[table["n_entries"].to_numpy() <= small_collection] = _WHOLE
-            table = table.drop_columns(["n_entries"])
-            table = table.append_column("cell", pa.array(cell.astype("int32")))
+            cell = np.full(batch.num_rows, _WHOLE, dtype=np.int32)
+            gap = np.zeros(batch.num_rows)
+            for rows, number, far in pivots.distances(batch["vector"]):
+                if len(number):
+                    near = far.argmin(axis=1)
+                    cell[rows], gap[rows] = number[near], far[np.arange(len(rows)), near]
+            cell[batch["n_entries"].to_numpy() <= small_collection] = _WHOLE
+            table = pa.Table.from_batches([batch]).drop_columns(["n_entries"])
+            table = table.append_column("cell", pa.array(cell))
             yield from table.append_column("gap", pa.array(gap)).to_batches()
 
     placed = materialize(
@@ -85,24 +114,31 @@ def pivot_cells(
         ),
         "cells",
     )
-    # At most one row per pivot, plus one for the collections kept whole.
-    used = {row.cell: row.gap for row in placed.groupBy("cell").agg(F.max("gap").alias("gap")).collect()}
-    limit = np.array([used.get(i, -np.inf) for i in range(len(pivots))]) + reach
+    # At most one row per pivot, plus one for the rows kept whole.
+    widest = placed.groupBy("cell").agg(F.max("gap").alias("gap"))
+    used = {row.cell: row.gap for row in widest.collect()}
+    limit = np.array([used.get(i, -np.inf) for i in range(pivots.n)]) + reach
     whole = _WHOLE in used
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = _distance(points(matrix(pa.chunked_array([batch["vector"]])), metric), pivots)
-            room = _TOLERANCE * (1.0 + far.max(initial=0.0))
-            row, cell = np.nonzero(far <= limit + room)
+            row, cell = [], []
+            for rows, number, far in pivots.distances(batch["vector"]):
+                room = _TOLERANCE * (1.0 + far.max(initial=0.0))
+                r, c = np.nonzero(far <= limit[number] + room)
+                row.append(rows[r])
+                cell.append(number[c])
             if whole:
-                row = np.concatenate([row, np.arange(len(far))])
-                cell = np.concatenate([cell, np.full(len(far), _WHOLE)])
-            table = pa.Table.from_batches([batch]).take(pa.array(row))
-            yield from table.append_column("cell", pa.array(cell.astype("int32"))).to_batches()
+                row.append(np.arange(batch.num_rows))
+                cell.append(np.full(batch.num_rows, _WHOLE))
+            if not row:
+                continue
+            table = pa.Table.from_batches([batch]).take(pa.array(np.concatenate(row)))
+            cells = pa.array(np.concatenate(cell).astype(np.int32))
+            yield from table.append_column("cell", cells).to_batches()
 
     # Visits to cells that a collection does not have meet no entries and disappear in the join.
-    visits = requests.mapInArrow(
+    visits = asked.mapInArrow(
         visit,
         "collection string, request_id string, seq long, vector array<double>, cell int",
     )

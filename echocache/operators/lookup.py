@@ -56,20 +56,20 @@ def nearest(
     right = _wanted(entries, "collection", "seq")
     if index == "pivots" and threshold is None:
         raise ValueError("index 'pivots' needs a threshold")
-    fits_block = False
-    if index != "lsh":
-        request_rows, entry_rows = blockjoin.row_counts(left, right)
-        fits_block = index != "pivots" and max(request_rows, entry_rows) <= block_rows
-        blocks = math.ceil(entry_rows / block_rows)
-        if index == "auto":
-            index = "pivots" if threshold is not None and blocks > 4 else "none"
-    if index == "pivots":
-        n_pivots = n_pivots or min(max(blocks, 1), MAX_PIVOTS)
-        left, right = cells.pivot_cells(left, right, metric, threshold, n_pivots, block_rows)
-    elif index == "lsh":
-        left, right = cells.lsh_cells(left, right, metric, tables, bucket_length)
-    else:
+    request_rows, entry_rows = blockjoin.row_counts(left, right)
+    blocks = math.ceil(entry_rows / block_rows)
+    if index == "auto":
+        index = "pivots" if threshold is not None and blocks > 4 else "none"
+    if index == "none" or not entry_rows:
         left, right = cells.one_cell(left), cells.one_cell(right)
+        fits_block = max(request_rows, entry_rows) <= block_rows
+    else:
+        fits_block = False
+        if index == "pivots":
+            n_pivots = n_pivots or min(blocks, MAX_PIVOTS)
+            left, right = cells.pivot_cells(left, right, metric, threshold, n_pivots, block_rows)
+        else:
+            left, right = cells.lsh_cells(left, right, metric, tables, bucket_length)
     floor = blockjoin.closeness_floor(threshold, metric)
     found = blockjoin.best_in_cells(left, right, metric, k, floor, before, block_rows, fits_block)
     return found.withColumn(
@@ -109,7 +109,7 @@ def lookup(
     served = best.join(texts, ["collection", "entry_seq"])
     return requests.join(served, ["collection", "request_id"], "left").select(
         *requests.columns,
-        F.col("entry_id").isNotNull().alias("found"),
+        F.col("entry_seq").isNotNull().alias("found"),
         F.coalesce("cached_prompt", F.lit("")).alias("cached_prompt"),
         F.coalesce("cached_response", F.lit("")).alias("cached_response"),
         "entry_id",

@@ -110,6 +110,25 @@ def test_pivots_keep_small_collections_whole(spark):
     assert collected(pivots, *columns) == collected(plain, *columns)
 
 
+@pytest.mark.parametrize("index", L.INDEXES)
+def test_every_index_accepts_an_empty_cache(spark, index):
+    assert L.nearest(requests(spark, [(1, [1.0, 0.0])]), entries(spark, []), index=index).isEmpty()
+
+
+def test_pivots_allow_one_dimension_per_collection(spark):
+    rng = np.random.default_rng(8)
+    flat, deep = (list(enumerate(clustered(rng, 60, dim, 4, 0.2))) for dim in (3, 5))
+    held = entries(spark, flat, "flat").unionByName(entries(spark, deep, "deep"))
+    asked = requests(spark, flat, "flat").unionByName(requests(spark, deep, "deep"))
+    got = L.nearest(asked, held, 0.9, index="pivots", n_pivots=8, block_rows=20)
+    assert got.where("request_id = concat('r', entry_seq)").count() == 120
+    mixed = entries(spark, flat + [(99, [1.0])], "flat")
+    with pytest.raises(Exception, match=S.VECTOR_DIMENSION):
+        L.nearest(asked, mixed, 0.9, index="pivots", n_pivots=8, block_rows=20).collect()
+    with pytest.raises(Exception, match=S.VECTOR_DIMENSION):
+        L.nearest(requests(spark, [(1, [1.0])], "flat"), held, 0.9, index="pivots", n_pivots=8, block_rows=20).collect()
+
+
 def test_far_from_the_origin_distances_stay_exact(spark):
     base = [1e6, -1e6, 5e5]
     held = [(1, [base[0] + 0.3, *base[1:]]), (2, [base[0] + 0.2, *base[1:]]), (3, [base[0] + 2, *base[1:]])]
