@@ -23,7 +23,9 @@ def _counter(dim: int):
         tokens = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
         words = tokens.flatten().cast(pa.binary())
-        digests = b"".join([hashlib.md5(word).digest() for word in words.to_pylist()])
+        # to_numpy builds the bytes objects several times faster than to_pylist.
+        raw = words.to_numpy(zero_copy_only=False)
+        digests = b"".join([hashlib.md5(word).digest() for word in raw])
         bucket = np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) % dim
         filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
         slot = (row * dim + bucket)[filled]

@@ -190,11 +190,8 @@ def vector_l2(spark, folder):
 @query
 def embed_hash(spark, folder):
     docs = TB.table(spark, folder, "documents").select("doc_id", F.col("text").alias("prompt"))
-    counted = F.filter(
-        F.transform("vector", lambda n, b: F.struct(b.alias("b"), n.cast("int").alias("n"))),
-        lambda x: x["n"] > 0,
-    )
-    shown = F.array_join(F.transform(counted, lambda x: F.concat_ws(":", x["b"], x["n"])), " ")
+    filled = lambda n, b: F.when(n > 0, F.concat_ws(":", b, n.cast("int")))
+    shown = F.array_join(F.transform("vector", filled), " ")  # leaves out the empty buckets
     return EM.embed_hash(docs, dim=CHAT_DIM).select("doc_id", shown.alias("buckets"))
 
 
