@@ -203,12 +203,17 @@ class Transducer:
 def segments(text: str, size: int = 1 << 20) -> Iterator[tuple[bool, str]]:
     """Cut a long text into parts of about ``size``; whether the space before a part was cut off."""
     at, spaced = 0, False
-    while at + size < len(text) and (cut := _CUT.search(text, at + size)):
-        yield spaced, text[at : cut.start()]
-        at, spaced = cut.end(), True
+    while at + size < len(text) and (space := _CUT.search(text, at + size)):
+        yield spaced, text[at : space.start()]
+        at, spaced = space.end(), True
     yield spaced, text[at:]
 
 
+def cut(part: str) -> list[str]:
+    """Split at the spaces between visible characters."""
+    return _CUT.split(part)
+
+
 class Unclean(Exception):
     """A space without a visible character on both sides; the pattern may match across it."""
 
@@ -255,7 +260,7 @@ class Encoder:
                 raise Unclean
             ids = b"".join(map(self.known.__getitem__, rest))
         except Unclean:
-            first, *rest = _CUT.split(text)
+            first, *rest = cut(text)
             ids = b"".join([self.plain(" " + x) for x in rest])
         return self.plain(" " * spaced + first) + ids
 
@@ -334,25 +339,25 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def _extended(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
+def extended(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
     taken = {c.lower() for c in df.columns}
     if clash := [c for c in new if c.lower() in taken]:
         raise ValueError(f"columns {clash} exist already; choose other output names")
     return T.StructType([*df.schema.fields, *(T.StructField(c, t) for c, t in new.items())])
 
 
-def _texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
+def texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
     values = batch.column(batch.schema.get_field_index(column))
     return (x.as_py() or "" for x in values)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
+def lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
     values = np.concatenate(rows) if rows else np.empty(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -360,26 +365,28 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 def encode(
     df: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", ids: str = "ids",
-    decoded: str | None = None,
+    decoded: str | None = None, drop: tuple = (),
 ) -> DataFrame:
     """Add ``ids``, the token ids of ``text`` (array<int>).
 
     ``vocabulary`` is the place of a rank file on the driver. With ``decoded``, a further column of
-    that name has the text decoded again from the ids, in the same pass.
+    that name has the text decoded again from the ids, in the same pass. Columns in ``drop`` are
+    not returned.
     """
     new = {ids: T.ArrayType(T.IntegerType()), **({decoded: T.StringType()} if decoded else {})}
-    schema = _extended(df, new)
+    schema = extended(df.drop(*drop), new)
     blob = _vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(blob.value, pattern)
-        for batch in _slices(batches):
-            rows = [encoder.encode(x) for x in _texts(batch, text)]
-            columns = [*batch.columns, _lists(rows)]
+        for batch in slices(batches):
+            rows = [encoder.encode(x) for x in texts(batch, text)]
+            kept = batch.drop_columns(list(drop)) if drop else batch
+            columns = [*kept.columns, lists(rows)]
             if decoded:
                 bytes_of = encoder.transducer.bytes_of
                 columns.append(pa.array([decode_all(x, bytes_of) for x in rows], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *new])
+            yield pa.RecordBatch.from_arrays(columns, [*kept.schema.names, *new])
 
     return df.mapInArrow(run, schema)
 
@@ -388,12 +395,12 @@ def decode(
     df: DataFrame, vocabulary: str, pattern: str, *, ids: str = "ids", text: str = "decoded"
 ) -> DataFrame:
     """Add ``text``, decoded from ``ids`` (null ids: the empty text)."""
-    schema = _extended(df, {text: T.StringType()})
+    schema = extended(df, {text: T.StringType()})
     blob = _vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = _encoder(blob.value, pattern).transducer.bytes_of
-        for batch in _slices(batches):
+        for batch in slices(batches):
             rows = batch.column(batch.schema.get_field_index(ids))
             texts = [decode_all(np.array(x.as_py() or (), np.int32), bytes_of) for x in rows]
             yield pa.RecordBatch.from_arrays(

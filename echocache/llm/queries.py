@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe
+from echocache.llm import bpe, counts, quality, sharding, urls
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -20,7 +20,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     coded = bpe.encode(
         docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN,
-        decoded="decoded",
+        decoded="decoded", drop=("text",),
     )
     return coded.select(
         "doc_id",
@@ -30,8 +30,62 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    return counts.count_tokens(
+        docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), "text"),
+        public_tokenizers.path("byte_bpe_50k.json"), drop=("text",),
+    ).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    judged = quality.measure(docs)
+    mean = (F.col("quality.char_distance") + F.col("quality.word_distance")) / 2
+    return judged.select(
+        "doc_id",
+        *(f"quality.{c}" for c in (
+            "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        )),
+        F.round(mean, 6).alias("divergence"),
+    )
+
+
+#: Rules over ``pages``.
+URL_RULES = [
+    urls.Rule("net/", "block"),
+    urls.Rule("example.net/en/", "allow"),
+    urls.Rule("example.com/de/", "block"),
+    urls.Rule("org/fr/", "allow"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32"),
+    )
+    return sharding.assign(docs, 8, key="doc_id", size="size").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_token_counts": op4_token_counts,
+    "op6_url_filters": op6_url_filters,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_sharding": op10_sharding,
 }
 
 CHECKS: dict[str, str] = {}
