@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe, counts, quality, sharding, urls
+from echocache.llm import bpe, counts, mixing, quality, sharding, simhash, urls
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -80,10 +80,47 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Shares of the mixture by domain and language; sources of one language weigh alike.
+MIX_WEIGHTS = {"crawl": 50, "curated": 50} | {
+    f"{domain}/{lang}": weight
+    for domain in ("crawl", "curated")
+    for lang, weight in (("en", 40), ("de", 20), ("fr", 20), ("es", 20))
+}
+
+
+def mix_levels() -> dict[str, Column]:
+    """The tree of ``documents``: sources numbered below ten are crawls, the others are curated."""
+    number = F.try_to_number(F.regexp_extract("source", "([0-9]{1,9})$", 1), F.lit("999999999"))
+    domain = F.when(number < 10, "crawl").when(number >= 10, "curated").otherwise("unknown")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """A row of ``docs`` for each epoch that takes it, with the struct ``mix``."""
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, key="doc_id", tokens=n_words, seed=7)
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return mixed(docs).select(
+        "doc_id", "mix.domain", "mix.lang", "mix.source", "mix.n_tokens", F.col("mix.epoch").cast("long").alias("epoch")
+    )
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_source_mixing": op2_source_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_url_filters": op6_url_filters,
+    "op7_simhash": op7_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
