@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe, counts, mixing, quality, sharding, simhash, urls
+from echocache.llm import bpe, counts, edits, mixing, quality, sharding, simhash, urls
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -52,6 +52,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edits.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+    )
+
+
 #: Rules over ``pages``.
 URL_RULES = [
     urls.Rule("net/", "block"),
@@ -119,6 +127,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_source_mixing": op2_source_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_fingerprints": op5_fingerprints,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
     "op9_quality_rules": op9_quality_rules,
