@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe, counts, edits, mixing, quality, sharding, simhash, substrings, urls
+from echocache.llm import bpe, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -44,6 +44,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = lines.dedup_lines(docs, lines="n_lines", removed="n_removed")
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     judged = quality.measure(docs)
@@ -136,6 +142,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }

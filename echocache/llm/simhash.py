@@ -178,6 +178,15 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     )
 
 
+def _classes(docs: DataFrame, max_distance: int) -> DataFrame:
+    """``fingerprint`` and ``class``, the number of its component, of all fingerprints in ``docs``."""
+    known = materialize(docs.select("fingerprint").distinct(), "distinct")
+    found = components(links(known, max_distance))
+    return known.join(found, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", F.coalesce("component", "fingerprint").alias("class")
+    )
+
+
 def near_duplicates(
     df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
     max_distance: int = MAX_DISTANCE,
@@ -187,12 +196,33 @@ def near_duplicates(
         fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), shingle=shingle, drop=("text",)),
         "fingerprints",
     )
-    known = materialize(docs.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct")
-    found = components(links(known.select("fingerprint"), max_distance))
-    class_of = known.join(found, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("class")
-    )
-    class_of = materialize(class_of, "classes")
-    least = class_of.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = materialize(class_of.join(least, "class").select("fingerprint", "component_id"), "named")
+    least = docs.groupBy("fingerprint").agg(F.min("key").alias("least"))
+    classes = materialize(_classes(docs, max_distance).join(least, "fingerprint"), "classes")
+    named = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = materialize(classes.join(named, "class").select("fingerprint", "component_id"), "named")
     return docs.join(named, "fingerprint").select(F.col("key").alias(key), "fingerprint", "component_id")
+
+
+def without_near_duplicates(
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+    max_distance: int = MAX_DISTANCE,
+) -> DataFrame:
+    """One row of ``df`` of each set of linked documents: that of the least key, nulls last.
+
+    Of several such rows the one whose text has the least hash stays, of equal ones any.
+    """
+    key_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1))
+    version_of = lambda c: F.xxhash64(F.coalesce(F.col(c), F.lit("")))
+    rows = df.select(key_of(key).alias("key"), version_of(text).alias("version"), F.col(text).alias("text"))
+    docs = materialize(fingerprints(rows, shingle=shingle, drop=("text",)), "fingerprints")
+    least = docs.groupBy("fingerprint").agg(F.min(F.struct("key", "version")).alias("least"))
+    stays = (
+        _classes(docs, max_distance).join(least, "fingerprint")
+        .groupBy("class").agg(F.min("least").alias("stays"))
+        .select("stays.key", "stays.version")
+    )
+    stays = materialize(stays, "stays")
+    rows = df.select(
+        F.struct("*").alias("row"), key_of(key).alias("key"), version_of(text).alias("version")
+    )
+    return rows.join(stays, ["key", "version"]).dropDuplicates(["key", "version"]).select("row.*")
