@@ -1,26 +1,53 @@
 """From raw documents to token ids: quality, lines, near copies, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns of
-``documents``; the last returns one row of digests for each document it is given.
+``documents``; the last returns a row of digests for each document it is given. A stage works on
+all documents that the one before has kept, as they were written down.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echocache.llm.queries import bpe_digests
+from echocache.llm import lines, quality, simhash
+from echocache.llm.queries import bpe_digests, mixed
 from echocache.scratch import materialize
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule, or are far from their language, go."""
+    return quality.accepted(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of like lines one occurrence stays; documents lose the others from their text."""
+    return lines.dedup_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash.without_near_duplicates(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the target weights of domains, languages and sources, once for each epoch."""
+    return mixed(docs).drop("mix")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become token ids, and come back from them."""
     return bpe_digests(docs)
 
 
 STAGES = [
-    ("tokens", tokens),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("source_mixture", source_mixture),
+    ("token_ids", token_ids),
 ]
 
-#: The last stages have no SQL form; tests hold them against brute force.
+#: SQL cannot express the fingerprints' hash; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
