@@ -206,5 +206,10 @@ def measure(
 
 
 def accepted(df: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows that are kept, with their own columns."""
-    return _judged(df, text, lang).where("verdict.kept").select("row.*")
+    """The rows that are kept, with their own columns.
+
+    The number beside the verdict keeps the filter above the projections: pushed below them, it
+    would hold a copy of every expression for each use of each column.
+    """
+    judged = _judged(df, text, lang).withColumn("number", F.monotonically_increasing_id())
+    return judged.where("verdict.kept AND number >= 0").select("row.*")
