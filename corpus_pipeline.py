@@ -8,6 +8,7 @@ all documents that the one before has kept, as they were written down.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from echocache.llm import lines, quality, simhash
 from echocache.llm.queries import bpe_digests, mixed
@@ -21,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of like lines one occurrence stays; documents lose the others from their text."""
-    return lines.dedup_lines(docs)
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
