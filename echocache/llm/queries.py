@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls
+from echocache.llm import bpe, checks, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -106,6 +106,8 @@ MIX_WEIGHTS = {"crawl": 50, "curated": 50} | {
     for lang, weight in (("en", 40), ("de", 20), ("fr", 20), ("es", 20))
 }
 
+MIX_SEED = 7
+
 
 def mix_levels() -> dict[str, Column]:
     """The tree of ``documents``: sources numbered below ten are crawls, the others are curated."""
@@ -117,7 +119,7 @@ def mix_levels() -> dict[str, Column]:
 def mixed(docs: DataFrame) -> DataFrame:
     """A row of ``docs`` for each epoch that takes it, with the struct ``mix``."""
     n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
-    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, key="doc_id", tokens=n_words, seed=7)
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, key="doc_id", tokens=n_words, seed=MIX_SEED)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,4 +149,8 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS = {
+    "op2_source_mixing": checks.mixing_sql(MIX_WEIGHTS, MIX_SEED),
+    "op6_url_filters": checks.urls_sql([(r.text, r.verdict) for r in URL_RULES]),
+    "op9_quality_rules": checks.quality_sql(),
+}
