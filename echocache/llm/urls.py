@@ -89,7 +89,7 @@ def judge(
         listed, "rule string, verdict string, pattern string, tokens array<string>"
     )
 
-    host, path = split_url(F.col(url))
+    host, path = split_url(F.col("url"))
     urls = df.select(F.col(url).alias("url")).where("url IS NOT NULL").distinct()
     seen = urls.select("url", host.alias("host"), path.alias("path")).select(
         "url", F.concat("host", F.lit("\n"), "path").alias("key"),

@@ -1,0 +1,114 @@
+"""Plain Python forms of the operators, over small lists."""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter, defaultdict
+
+import regex
+import xxhash
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def words(text: str | None) -> list[str]:
+    return regex.findall("[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text: str) -> str:
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def simhash(features: list[str]) -> int:
+    hashed = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in features]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+
+
+def shingle_print(text: str | None) -> int:
+    found = words(lower(text or ""))
+    return simhash([" ".join(found[i : i + 4]) for i in range(max(1, len(found) - 3))]) if found else 0
+
+
+class Groups:
+    def __init__(self, items):
+        self.up = {x: x for x in items}
+
+    def find(self, x):
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
+
+    def join(self, x, y):
+        x, y = sorted((self.find(x), self.find(y)))
+        self.up[y] = x
+
+
+def simhash_groups(docs: dict[int, str | None]) -> dict[int, int]:
+    prints = {k: shingle_print(x) for k, x in docs.items()}
+    groups, keys = Groups(docs), sorted(docs)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                groups.join(a, b)
+    return {k: groups.find(k) for k in keys}
+
+
+def removed_words(docs: dict[int, str | None], length: int = 50) -> dict[int, tuple[int, int, str]]:
+    seen, out = set(), {}
+    for key in sorted(docs):
+        found = words(docs[key])
+        grams = [tuple(found[i : i + length]) for i in range(len(found) - length + 1)]
+        gone = {j for i, g in enumerate(grams) if g in seen for j in range(i, i + length)}
+        seen.update(grams)
+        out[key] = (len(found), len(gone), " ".join(w for i, w in enumerate(found) if i not in gone))
+    return out
+
+
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def normalised(line: str) -> str:
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+
+
+def kept_lines(docs: dict[int, str | None]) -> dict[int, tuple[int, str | None]]:
+    """Removed lines and the text that stays."""
+    places = defaultdict(list)
+    for key, text in docs.items():
+        for i, line in enumerate((text or "").split("\n")):
+            if plain := normalised(line):
+                places[plain].append((key, i))
+    plain = list(places)
+    prints, groups = [simhash(x.split(" ")) for x in plain], Groups(range(len(plain)))
+    for i, a in enumerate(plain):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                b = plain[j]
+                if edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                    groups.join(i, j)
+    members, gone = defaultdict(list), defaultdict(set)
+    for i, x in enumerate(plain):
+        members[groups.find(i)] += places[x]
+    for found in members.values():
+        for key, i in sorted(found)[1:]:
+            gone[key].add(i)
+    return {
+        k: (len(gone[k]), x and "\n".join(y for i, y in enumerate(x.split("\n")) if i not in gone[k]))
+        for k, x in docs.items()
+    }
+
+
+def repeat_words(text: str | None) -> int:
+    found = words(text)
+    grams = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+    times = Counter(grams)
+    return len({j for i, g in enumerate(grams) if times[g] > 1 for j in range(i, i + 3)})
