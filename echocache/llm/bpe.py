@@ -36,7 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bounds of what a worker remembers; results do not depend on them.
-MAX_STATES, MAX_CHUNKS, MAX_CHUNK_CHARS, MAX_PAIRS = 350_000, 250_000, 64, 500_000
+MAX_STATES, MAX_CHUNKS, MAX_CHUNK_CHARS, MAX_PAIRS = 200_000, 450_000, 64, 500_000
+#: A state's missing transition is built when it is asked for more often than this; before, the
+#: rest of a match of at most so many bytes is run without building states that nobody may need.
+COLD, AHEAD = 16, 256
 #: Ids decoded at a time.
 BLOCK = 65_536
 
@@ -56,11 +59,12 @@ class State:
     boundaries, 0 among them, that a later token may start from.
     """
 
-    __slots__ = ("last", "pending", "tokens", "live", "next", "_tail")
+    __slots__ = ("last", "pending", "tokens", "live", "next", "cold", "_tail")
 
     def __init__(self, last: int | None, pending: bytes, tokens: tuple, live: tuple) -> None:
         self.last, self.pending, self.tokens, self.live = last, pending, tokens, live
         self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
+        self.cold = 0
         self._tail: tuple[int, ...] | None = None
 
 
@@ -72,8 +76,8 @@ class Transducer:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        #: What a token may still grow from.
-        self.open = {token[:k] for token in ranks for k in range(1, len(token))}
+        #: What a token may still grow from, with its own rank, or None if it is no token.
+        self.open = {token[:k]: ranks.get(token[:k]) for token in ranks for k in range(1, len(token))}
         self.pairs: dict[tuple[int | None, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, float, float]]] = {}
         self.reset()
@@ -142,19 +146,25 @@ class Transducer:
         pending = at.pending + bytes((byte,))
         n = len(pending)
         live, token, begin = [], None, 0
+        opened, ranks, pairs = self.open, self.ranks, self.pairs
         for j in at.live:  # a token starts at a boundary that is still open
-            part = pending[j:]
-            if part in self.open:
+            part = pending[j:] if j else pending
+            found = opened.get(part, -1)
+            if found == -1:
+                found = None if token is not None else ranks.get(part)
+            else:
                 live.append(j)
-            if token is None and (found := self.ranks.get(part)) is not None:
-                if self.fits(at.tokens[j - 1][0] if j else at.last, found):
+            if found is not None and token is None:
+                left = at.tokens[j - 1][0] if j else at.last
+                fits = pairs.get((left, found))
+                if self.fits(left, found) if fits is None else fits:
                     token, begin = found, j
         if token is None:
             raise ValueError(f"the vocabulary has no way on at byte {byte}")
         tokens = (*at.tokens, (token, begin))
         live.append(n)
-        cut = n
-        for j in live:  # the last boundary that all live ones come from
+        cut = 0 if live[0] == 0 else n
+        for j in live if cut else ():  # the last boundary that all live ones come from
             while j > cut:
                 j = tokens[j - 1][1]
             while cut > j:
@@ -176,6 +186,36 @@ class Transducer:
         step = at.next[byte] = (self.state(*to), tuple(out[::-1]))
         return step
 
+    def run_on(self, at: State, rest: bytes) -> list[int]:
+        """Ids of what is pending and a short rest, without building states for them."""
+        data, live = at.pending + rest, at.live
+        last, begins = [at.last, *(t for t, _ in at.tokens)], [0, *(b for _, b in at.tokens)]
+        opened, ranks, pairs = self.open, self.ranks, self.pairs
+        for n in range(len(at.pending) + 1, len(data) + 1):
+            now, token, begin = [], None, 0
+            for j in live:
+                part = data[j:n]
+                found = opened.get(part, -1)
+                if found == -1:
+                    found = None if token is not None else ranks.get(part)
+                else:
+                    now.append(j)
+                if found is not None and token is None:
+                    fits = pairs.get((last[j], found))
+                    if self.fits(last[j], found) if fits is None else fits:
+                        token, begin = found, j
+            if token is None:
+                raise ValueError(f"the vocabulary has no way on at byte {data[n - 1]}")
+            last.append(token)
+            begins.append(begin)
+            now.append(n)
+            live = now
+        out, n = [], len(data)
+        while n:
+            out.append(last[n])
+            n = begins[n]
+        return out[::-1]
+
     def tail(self, at: State) -> tuple[int, ...]:
         if at._tail is None:
             out, j = [], len(at.pending)
@@ -191,8 +231,13 @@ class Transducer:
         if whole is not None:
             return [whole]
         at, out = self.start, []
-        for byte in piece:
-            step = at.next.get(byte) or self.build(at, byte)
+        for i, byte in enumerate(piece):
+            step = at.next.get(byte)
+            if step is None:
+                at.cold += 1
+                if at.cold <= COLD and len(piece) - i <= AHEAD:
+                    return out + self.run_on(at, piece[i:])
+                step = self.build(at, byte)
             at = step[0]
             if step[1]:
                 out += step[1]
@@ -221,15 +266,15 @@ class Unclean(Exception):
 class Known(dict):
     """Packed ids of a space and a chunk, by chunk: what was used lately, in two generations."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make, self.old = make, {}
+    def __init__(self, split: Callable[[str], list[str]], make: Callable[[list[str]], bytes]) -> None:
+        self.split, self.make, self.old = split, make, {}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 raise Unclean
-            ids = self.make(" " + chunk)
+            ids = self.of_matches(self.split(" " + chunk), chunk)
             if len(chunk) > MAX_CHUNK_CHARS:
                 return ids
         if len(self) >= MAX_CHUNKS:
@@ -238,6 +283,19 @@ class Known(dict):
         self[chunk] = ids
         return ids
 
+    def of_matches(self, matches: list[str], chunk: str) -> bytes:
+        """A chunk of several matches, such as a word and a comma, is put together from known ones."""
+        first = matches[0]
+        if len(matches) == 1 or first[0] != " " or first == " ":
+            return self.make(matches)
+        word = first[1:]
+        ids = self.get(word) or self.old.get(word)
+        if ids is None:
+            ids = self.make([first])
+            if len(word) <= MAX_CHUNK_CHARS and len(self) < MAX_CHUNKS:
+                self[word] = ids
+        return ids + self.make(matches[1:])
+
 
 class Encoder:
     """Ids of whole texts."""
@@ -245,13 +303,16 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.known = Known(self.plain)
+        self.known = Known(self.pattern.findall, self.packed)
 
-    def plain(self, text: str) -> bytes:
-        """Through the pattern and the transducer; 32-bit ids, packed."""
+    def packed(self, matches: list[str]) -> bytes:
+        """Through the transducer; 32-bit ids, packed."""
         encode = self.transducer.encode
-        ids = [i for piece in self.pattern.findall(text) for i in encode(piece.encode())]
-        return array("i", ids).tobytes()
+        return array("i", [i for match in matches for i in encode(match.encode())]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """Through the pattern and the transducer."""
+        return self.packed(self.pattern.findall(text))
 
     def part(self, spaced: bool, text: str) -> bytes:
         first, *rest = text.split(" ")
