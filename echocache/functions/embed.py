@@ -22,13 +22,15 @@ def _counter(dim: int):
     def count(texts: pa.Array) -> pa.Array:
         tokens = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
-        words = tokens.flatten().cast(pa.binary())
-        # to_numpy builds the bytes objects several times faster than to_pylist.
+        # Every distinct token of the batch is hashed once.
+        coded = tokens.flatten().cast(pa.binary()).dictionary_encode()
+        words = coded.dictionary
         raw = words.to_numpy(zero_copy_only=False)
         digests = b"".join([hashlib.md5(word).digest() for word in raw])
         bucket = np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) % dim
-        filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
-        slot = (row * dim + bucket)[filled]
+        which = coded.indices.to_numpy()
+        filled = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[which]
+        slot = (row * dim + bucket[which])[filled]
         counts = np.bincount(slot, minlength=len(tokens) * dim)
         ends = np.arange(0, len(tokens) * dim + 1, dim, dtype=np.int32)
         return pa.ListArray.from_arrays(ends, counts.astype(np.float64))

@@ -9,19 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echocache.functions import text
+from echocache.operators.rank import rank_within
 
 
 def recorded(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, prompt, response) for user turns followed by an assistant turn.
 
-    Turns are numbered without gaps, so the next turn is an equi-join on turn + 1; a very long
-    conversation spreads over all tasks, unlike a window over the conversation.
+    The next turn is the one with the next larger number, whatever is between. Turns are ranked
+    first, so that it is an equi-join; a very long conversation spreads over all tasks, unlike a
+    window over the conversation. ``turn`` is unique in its conversation.
     """
-    asked = turns.where("role = 'user'").select(
-        "conv_id", "turn", F.col("text").alias("prompt"), (F.col("turn") + 1).alias("next")
+    placed = rank_within(turns.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"], "place")
+    asked = placed.where("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("prompt"), (F.col("place") + 1).alias("next")
     )
-    replied = turns.where("role = 'assistant'").select(
-        "conv_id", F.col("turn").alias("next"), F.col("text").alias("response")
+    replied = placed.where("role = 'assistant'").select(
+        "conv_id", F.col("place").alias("next"), F.col("text").alias("response")
     )
     return asked.join(replied, ["conv_id", "next"]).drop("next")
 
@@ -53,4 +56,5 @@ def generate(
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from generator(batches)
 
-    return misses.withColumn("response", run("prompt"))
+    # A model may answer differently when asked again, so Spark must not ask twice.
+    return misses.withColumn("response", run.asNondeterministic()("prompt"))

@@ -18,6 +18,7 @@ from echocache import schema as S
 from echocache.scratch import materialize, spread
 
 BLOCK_ROWS = 8192
+# Cosines are compared after rounding to this many decimals, distances to as many significant digits.
 SCORE_DECIMALS = 12
 _SLICE_CELLS = 4_000_000
 
@@ -46,11 +47,21 @@ def points(rows: np.ndarray, metric: str) -> np.ndarray:
     return rows / length[:, None]
 
 
+def significant(values: np.ndarray) -> np.ndarray:
+    """Rounded to ``SCORE_DECIMALS`` significant digits, so that the scale of the data is free."""
+    values = np.asarray(values, float)
+    size = np.abs(values)
+    power = np.floor(np.log10(np.where(size > 0, size, 1.0)))
+    scale = 10.0 ** np.clip(SCORE_DECIMALS - 1 - power, -290, 290)
+    return np.where(np.isfinite(values), np.round(values * scale) / scale, values)
+
+
 def closeness_floor(threshold: float | None, metric: str) -> float:
     """The threshold on the closeness scale, where larger is closer for every metric."""
     if threshold is None:
         return -np.inf
-    return {"cosine": threshold, "l2sq": -threshold, "l2": -threshold * threshold}[metric]
+    floor = {"cosine": threshold, "l2sq": -threshold, "l2": -threshold * threshold}[metric]
+    return floor if metric == "cosine" else float(significant(floor))
 
 
 def closeness_to_score(closeness: Column, metric: str) -> Column:
@@ -74,7 +85,7 @@ def exact_closeness(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndar
     if metric == "cosine":
         return np.round(left @ right.T, SCORE_DECIMALS)
     gaps = [((right - row) ** 2).sum(axis=1) for row in left]
-    return np.round(-np.array(gaps).reshape(len(left), len(right)), SCORE_DECIMALS)
+    return significant(-np.array(gaps).reshape(len(left), len(right)))
 
 
 def _rescore(left, right, rows, cols, metric, approximate) -> np.ndarray:
@@ -86,7 +97,7 @@ def _rescore(left, right, rows, cols, metric, approximate) -> np.ndarray:
     for lo in range(0, len(rows), step):
         gap = left[rows[lo : lo + step]] - right[cols[lo : lo + step]]
         exact[lo : lo + step] = -(gap * gap).sum(axis=1)
-    return np.round(exact, SCORE_DECIMALS)
+    return significant(exact)
 
 
 def best_pairs(left, right, metric, k, floor, left_seq=None, right_seq=None):
@@ -170,12 +181,14 @@ def best_in_cells(
     before: bool = False,
     block_rows: int = BLOCK_ROWS,
     fits_block: bool = False,
+    repeats: bool = False,
 ) -> DataFrame:
     """The k closest entries of each request over the cells it shares with them.
 
     ``requests``: collection, cell, request_id, seq, vector. ``entries``: collection, cell, seq,
     vector. Returns collection, request_id, entry_seq, closeness and, for k > 1, place.
-    ``fits_block``: the caller counted both sides, and each fits one block.
+    ``fits_block``: the caller counted both sides, and each fits one block. ``repeats``: a request
+    and an entry may share several cells.
     """
     cell = ["collection", "cell"]
     sizes = None
@@ -218,8 +231,9 @@ def best_in_cells(
             *request, F.col("b.entry_seq"), (-F.col("b.far")).alias("closeness")
         )
     order = Window.partitionBy(*request).orderBy(F.desc("closeness"), F.asc("entry_seq"))
+    if repeats:
+        local = local.dropDuplicates([*request, "entry_seq"])
     return (
-        local.dropDuplicates([*request, "entry_seq"])
-        .withColumn("place", F.row_number().over(order))
+        local.withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
     )

@@ -7,24 +7,28 @@ share a random-projection bucket, so it may lose matches; callers ask for it by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echocache import schema as S
-from echocache.functions import vectors as V
 from echocache.operators.blockjoin import closeness, matrix, points
 from echocache.scratch import materialize
 
-# Rounding head-room when a cell is dropped: a cell that is this close to the limit is kept.
-_TOLERANCE = 1e-6
+# Error of a squared distance computed from products, as a share of both squared lengths.
+_ERROR = 1e-12
 # The cell of collections that are kept whole.
 _WHOLE = -1
+# Parts by distance from its pivot that a pivot's entries are cut into.
+RINGS = 8
+# Rows tried out before an index is built, and the share of pairs that must go for it to pay.
+TRIED, WORTH = 256, 0.5
+# Rows measured against all pivots at a time.
+_SLICE = 1024
 
 
 def one_cell(rows: DataFrame) -> DataFrame:
@@ -56,14 +60,111 @@ class Pivots:
             for size, group in by_size.items()
         }
 
-    def distances(self, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, pivot numbers, distance of each row to each pivot) for each dimension."""
+    def distances(self, vectors: pa.Array) -> Iterator[tuple]:
+        """For each dimension, in slices: rows, pivot numbers, squared distances and their error."""
         sizes = np.diff(vectors.offsets.to_numpy())
         for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
+            of_size = np.flatnonzero(sizes == size)
             number, pivots = self.groups.get(int(size), (np.empty(0, int), np.empty((0, size))))
-            part = points(matrix(pa.chunked_array([vectors.take(pa.array(rows))])), self.metric)
-            yield rows, number, np.sqrt(-closeness(part, pivots, "l2sq"))
+            for at in range(0, len(of_size), _SLICE):
+                rows = of_size[at : at + _SLICE]
+                part = points(matrix(pa.chunked_array([vectors.take(pa.array(rows))])), self.metric)
+                error = _ERROR * ((part * part).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :])
+                yield rows, number, -closeness(part, pivots, "l2sq"), error
+
+    def gaps(self) -> np.ndarray:
+        """Distance between every two pivots; infinite between dimensions."""
+        found = np.full((self.n, self.n), np.inf)
+        for number, pivots in self.groups.values():
+            for i, row in zip(number, pivots):
+                found[i, number] = np.sqrt(((pivots - row) ** 2).sum(axis=1))
+        return found
+
+
+def _low(squared: np.ndarray, error: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(squared - error, 0.0))
+
+
+def _high(squared: np.ndarray, error: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(squared, 0.0) + error)
+
+
+class Cells:
+    """Which cells can hold an entry within ``reach`` of a request.
+
+    A cell has a pivot, the least and largest distance of its entries from it, and the largest
+    error of any squared distance in it. An entry of the cell is at least |d - gap| away from a
+    request at distance d from the pivot, for some gap in that range; and as the entry is nearer
+    to this pivot than to another, it is at least as far as the plane between the two.
+    """
+
+    def __init__(self, cells: dict[int, tuple[float, float, float]], between: np.ndarray, reach: float):
+        self.ids = np.array(sorted(c for c in cells if c >= 0), int)
+        self.pivot = self.ids // RINGS
+        found = np.array([cells[c] for c in self.ids]).reshape(len(self.ids), 3)
+        self.least, self.most, self.error = found.T
+        self.between, self.reach = between, reach
+        self.whole = _WHOLE in cells
+
+    def visited(self, number: np.ndarray, squared: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """(row, cell index) matrix of what has to be compared; ``number`` are the pivots measured."""
+        place = np.full(len(self.between), -1)
+        place[number] = np.arange(len(number))
+        at = place[self.pivot]
+        out = np.zeros((len(squared), len(self.ids)), bool)
+        some = np.flatnonzero(at >= 0)
+        if not len(some) or not len(squared):
+            return out
+        near, wrong, column = squared.argmin(axis=1), error, at[some]
+        room = self.reach * (1 + 1e-9)
+        keep = _low(squared, wrong)[:, column] <= self.most[some] + room
+        keep &= _high(squared, wrong)[:, column] >= self.least[some] - room
+        rows = np.arange(len(squared))
+        apart = self.between[self.pivot[some][None, :], number[near][:, None]]
+        beyond = squared[:, column] - squared[rows, near][:, None]
+        slack = wrong[:, column] + wrong[rows, near][:, None] + 2 * self.error[some]
+        keep &= (beyond - slack <= 2 * apart * room) | (apart == 0)
+        out[:, some] = keep
+        return out
+
+
+def _placed(pivots: Pivots, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest pivot of each row, the distance to it and the error of its square."""
+    n = len(vectors)
+    cell, gap, wrong = np.full(n, _WHOLE), np.zeros(n), np.zeros(n)
+    for rows, number, squared, error in pivots.distances(vectors):
+        if len(number):
+            near = squared.argmin(axis=1)
+            each = np.arange(len(rows))
+            cell[rows], wrong[rows] = number[near], error.max(axis=1)
+            gap[rows] = np.sqrt(squared[each, near])
+    return cell, gap, wrong
+
+
+def worth_it(requests: DataFrame, entries: DataFrame, pivots: Pivots, reach: float) -> bool:
+    """Whether pivots drop enough pairs, tried out on a few rows of each side.
+
+    The answer decides how the work is done, not what is found. At most ``TRIED`` vectors of each
+    side come to the driver.
+    """
+    order = lambda *c: F.xxhash64(F.lit(1), *c)
+    some = lambda rows, *c: pa.array(
+        [r.vector for r in rows.orderBy(order(*c)).select("vector").limit(TRIED).collect()], pa.list_(pa.float64())
+    )
+    held, asked = some(entries, "collection", "seq"), some(requests, "collection", "request_id")
+    cell, gap, wrong = _placed(pivots, held)
+    # Every tried entry as a ring of its own shows what rings can do.
+    known = {int(c) * RINGS: None for c in cell if c >= 0}
+    found = {}
+    for c in known:
+        mine = cell == c // RINGS
+        found[c] = (gap[mine].min(), gap[mine].max(), wrong[mine].max())
+    cells = Cells(found, pivots.gaps(), reach)
+    weight = np.array([(cell == c // RINGS).sum() for c in cells.ids])
+    kept = 0
+    for _, number, squared, error in pivots.distances(asked):
+        kept += (cells.visited(number, squared, error) * weight).sum()
+    return kept <= WORTH * len(held) * len(asked)
 
 
 def pivot_cells(
@@ -71,19 +172,15 @@ def pivot_cells(
     entries: DataFrame,
     metric: str,
     threshold: float,
-    n_pivots: int,
+    pivots: Pivots,
     small_collection: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """Entries go to the cell of their nearest pivot; requests to every cell that may match.
+    """Entries go to a ring around their nearest pivot; requests to every cell that may match.
 
-    A request at distance d from a pivot can only match entries of that cell when
-    d <= (largest pivot distance in the cell) + radius. Collections of at most
-    ``small_collection`` entries stay in one cell. The driver and the tasks hold the pivots and
-    one distance per pivot, whatever the size of the data.
+    Collections of at most ``small_collection`` entries stay in one cell. The driver and the tasks
+    hold the pivots and a few numbers for each ring, whatever the size of the data.
     """
-    pivots = Pivots(entries, metric, n_pivots)
     reach = radius(threshold, metric)
-
     size = F.size("vector")
     known = entries.groupBy("collection").agg(
         F.count(F.lit(1)).alias("n_entries"), F.min(size).alias("low"), F.max(size).alias("high")
@@ -97,86 +194,91 @@ def pivot_cells(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = np.full(batch.num_rows, _WHOLE, dtype=np.int32)
-            gap = np.zeros(batch.num_rows)
-            for rows, number, far in pivots.distances(batch["vector"]):
-                if len(number):
-                    near = far.argmin(axis=1)
-                    cell[rows], gap[rows] = number[near], far[np.arange(len(rows)), near]
+            cell, gap, wrong = _placed(pivots, batch["vector"])
             cell[batch["n_entries"].to_numpy() <= small_collection] = _WHOLE
             table = pa.Table.from_batches([batch]).drop_columns(["n_entries"])
-            table = table.append_column("cell", pa.array(cell))
-            yield from table.append_column("gap", pa.array(gap)).to_batches()
+            table = table.append_column("pivot", pa.array(cell.astype(np.int32)))
+            table = table.append_column("gap", pa.array(gap))
+            yield from table.append_column("error", pa.array(wrong)).to_batches()
 
     placed = materialize(
         sized.mapInArrow(
-            assign, "collection string, seq long, vector array<double>, cell int, gap double"
+            assign, "collection string, seq long, vector array<double>, pivot int, gap double, error double"
         ),
-        "cells",
+        "placed",
     )
-    # At most one row per pivot, plus one for the rows kept whole.
-    widest = placed.groupBy("cell").agg(F.max("gap").alias("gap"))
-    used = {row.cell: row.gap for row in widest.collect()}
-    limit = np.array([used.get(i, -np.inf) for i in range(pivots.n)]) + reach
-    whole = _WHOLE in used
+    # At most one row of RINGS numbers for each pivot.
+    parts = [i / RINGS for i in range(1, RINGS)]
+    edges = placed.where("pivot >= 0").groupBy("pivot").agg(F.percentile_approx("gap", parts, 1000).alias("edges"))
+    ring = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("gap"))), F.lit(0))
+    cell = F.when(F.col("pivot") < 0, F.lit(_WHOLE)).otherwise(F.col("pivot") * RINGS + ring)
+    placed = placed.join(F.broadcast(edges), "pivot", "left").withColumn("cell", cell.cast("int"))
+    spans = placed.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("error").alias("e"))
+    used = {
+        r.cell: (math.sqrt(max(r.a * r.a - r.e, 0.0)), math.sqrt(r.b * r.b + r.e), r.e) for r in spans.collect()
+    }
+    cells = Cells(used, pivots.gaps(), reach)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, cell = [], []
-            for rows, number, far in pivots.distances(batch["vector"]):
-                room = _TOLERANCE * (1.0 + far.max(initial=0.0))
-                r, c = np.nonzero(far <= limit[number] + room)
-                row.append(rows[r])
-                cell.append(number[c])
-            if whole:
-                row.append(np.arange(batch.num_rows))
-                cell.append(np.full(batch.num_rows, _WHOLE))
-            if not row:
-                continue
-            table = pa.Table.from_batches([batch]).take(pa.array(np.concatenate(row)))
-            cells = pa.array(np.concatenate(cell).astype(np.int32))
-            yield from table.append_column("cell", cells).to_batches()
+            lists = [[_WHOLE] if cells.whole else [] for _ in range(batch.num_rows)]
+            for rows, number, squared, error in pivots.distances(batch["vector"]):
+                for row, kept in zip(rows, cells.visited(number, squared, error)):
+                    lists[row] += cells.ids[kept].tolist()
+            table = pa.Table.from_batches([batch])
+            yield from table.append_column("cells", pa.array(lists, pa.list_(pa.int32()))).to_batches()
 
     # Visits to cells that a collection does not have meet no entries and disappear in the join.
     visits = asked.mapInArrow(
         visit,
-        "collection string, request_id string, seq long, vector array<double>, cell int",
-    )
-    return visits, placed.drop("gap")
-
-
-def _unit(vector: str, metric: str) -> Column:
-    if metric != "cosine":
-        return F.col(vector)
-    return F.transform(vector, lambda x: x / V.norm(vector))
+        "collection string, request_id string, seq long, vector array<double>, cells array<int>",
+    ).select("collection", "request_id", "seq", "vector", F.explode("cells").alias("cell"))
+    return visits, placed.select("collection", "seq", "vector", "cell")
 
 
 def lsh_cells(
     requests: DataFrame,
     entries: DataFrame,
     metric: str,
+    width: float,
     tables: int,
-    bucket_length: float,
+    projections: int,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """One cell per (hash table, bucket); a row is in ``tables`` cells."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", numHashTables=tables,
-        bucketLength=bucket_length, seed=seed,
-    )
+    """One cell per table and combination of buckets; a row is in ``tables`` cells.
 
-    def featured(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("features", array_to_vector(_unit("vector", metric)))
+    In each table a row is projected on ``projections`` random directions, and each projection is
+    cut into buckets of ``width``. Rows are in one cell of a table if all of its buckets agree.
+    """
 
-    model = lsh.fit(featured(entries).limit(1))  # projections depend on the dimension only
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple] = {}
+        for batch in batches:
+            vectors = batch["vector"]
+            sizes = np.diff(vectors.offsets.to_numpy())
+            cells = np.zeros((batch.num_rows, tables), np.int64)
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                if int(size) not in known:
+                    rng = np.random.default_rng([seed, int(size)])
+                    known[int(size)] = (
+                        rng.normal(size=(int(size), tables * projections)), rng.uniform(0, width, tables * projections),
+                        rng.integers(1, 1 << 62, projections, dtype=np.int64) | 1,
+                    )
+                directions, shift, odd = known[int(size)]
+                part = points(matrix(pa.chunked_array([vectors.take(pa.array(rows))])), metric)
+                bucket = np.floor((part @ directions + shift) / width).astype(np.int64)
+                mixed = (bucket.reshape(len(rows), tables, projections) * odd).sum(axis=2)
+                cells[rows] = (mixed ^ (mixed >> 29)) * tables + np.arange(tables)
+            ends = np.arange(0, cells.size + 1, tables, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.ravel()))
+            table = pa.Table.from_batches([batch])
+            yield from table.append_column("cells", lists).to_batches()
 
     def bucketed(rows: DataFrame) -> DataFrame:
-        buckets = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long"))
-        named = F.transform(buckets, lambda b, i: F.concat_ws(":", i, b))
-        return (
-            model.transform(featured(rows))
-            .withColumn("cell", F.explode(named))
-            .drop("features", "hashes")
+        types = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+        return rows.mapInArrow(hashed, f"{types}, cells array<long>").select(
+            *rows.columns, F.explode("cells").alias("cell")
         )
 
     return bucketed(requests), bucketed(entries)

@@ -30,8 +30,9 @@ def victims(
     """Metadata of the rows that leave when ``inserts`` are stored one after the other.
 
     Each insert into a full collection evicts exactly one row, so n entries and k inserts lose
-    least(k, n + k - capacity) rows, the first ones in policy order. A collection that is
-    already over capacity therefore keeps its size, unless ``shrink`` trims it.
+    least(k, n + k - capacity) rows. The insert that arrives last (by ``seq``) stays, as nothing is
+    stored after it; the others lose the first rows in policy order, whatever their access times.
+    A collection that is already over capacity therefore keeps its size, unless ``shrink`` trims it.
     Only collections that lose rows are ranked, and only their metadata is shuffled.
     """
     S.check_capacity(max_capacity)
@@ -53,7 +54,10 @@ def victims(
         .where("leaving > 0"),
         "leaving",
     )
-    pool = known.unionByName(arriving).join(need, "collection")
+    last = arriving.groupBy("collection").agg(F.max("seq").alias("last"))
+    need = need.join(last, "collection", "left")
+    early = arriving.withColumn("arrives", F.col("seq")).unionByName(known, allowMissingColumns=True)
+    pool = early.join(need, "collection").where("arrives IS NULL OR arrives <> last").drop("arrives", "last")
     ranked = rank_within(pool, ["collection"], list(order))
     return ranked.where("rank <= leaving").select(*METADATA)
 

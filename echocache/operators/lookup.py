@@ -34,8 +34,9 @@ def nearest(
     index: str = "auto",
     block_rows: int = blockjoin.BLOCK_ROWS,
     n_pivots: int | None = None,
-    tables: int = 8,
-    bucket_length: float = 1.0,
+    tables: int = 20,
+    projections: int = 8,
+    bucket_length: float | None = None,
 ) -> DataFrame:
     """Closest entries of each request that pass the threshold; ties go to the earliest entry.
 
@@ -43,7 +44,8 @@ def nearest(
     match have no row. ``before`` allows only entries with a smaller ``seq`` than the request.
     ``index``: ``none`` compares a whole collection block by block; ``pivots`` first drops cells
     that cannot match (same result); ``lsh`` is approximate; ``auto`` uses pivots when the
-    entries fill more than a few blocks.
+    entries fill more than a few blocks and a few rows tried out show that enough pairs go.
+    ``bucket_length`` of LSH is by default three times the distance at the threshold.
     """
     S.check_metric(metric)
     if threshold is not None:
@@ -58,20 +60,27 @@ def nearest(
         raise ValueError("index 'pivots' needs a threshold")
     request_rows, entry_rows = blockjoin.row_counts(left, right)
     blocks = math.ceil(entry_rows / block_rows)
-    if index == "auto":
-        index = "pivots" if threshold is not None and blocks > 4 else "none"
+    pivots = None
+    if index == "pivots" and entry_rows or index == "auto" and threshold is not None and blocks > 4:
+        wanted = min(n_pivots or max(8, min(blocks, MAX_PIVOTS)), MAX_PIVOTS)
+        pivots = cells.Pivots(right, metric, wanted)
+        if index == "auto" and not cells.worth_it(left, right, pivots, cells.radius(threshold, metric)):
+            pivots = None
+    index = index if index == "lsh" else "none" if pivots is None else "pivots"
     if index == "none" or not entry_rows:
         left, right = cells.one_cell(left), cells.one_cell(right)
         fits_block = max(request_rows, entry_rows) <= block_rows
     else:
         fits_block = False
         if index == "pivots":
-            n_pivots = n_pivots or min(blocks, MAX_PIVOTS)
-            left, right = cells.pivot_cells(left, right, metric, threshold, n_pivots, block_rows)
+            left, right = cells.pivot_cells(left, right, metric, threshold, pivots, block_rows)
         else:
-            left, right = cells.lsh_cells(left, right, metric, tables, bucket_length)
+            width = bucket_length or 3 * cells.radius(S.DEFAULT_THRESHOLD if threshold is None else threshold, metric) or 1.0
+            left, right = cells.lsh_cells(left, right, metric, width, tables, projections)
     floor = blockjoin.closeness_floor(threshold, metric)
-    found = blockjoin.best_in_cells(left, right, metric, k, floor, before, block_rows, fits_block)
+    found = blockjoin.best_in_cells(
+        left, right, metric, k, floor, before, block_rows, fits_block, repeats=index == "lsh"
+    )
     return found.withColumn(
         "score", blockjoin.closeness_to_score(F.col("closeness"), metric)
     ).drop("closeness")
@@ -81,16 +90,19 @@ def lookup(
     requests: DataFrame,
     entries: DataFrame,
     threshold: float = S.DEFAULT_THRESHOLD,
-    metric: str = "cosine",
-    store: str = "cosine",
+    metric: str | None = None,
+    store: str | None = None,
     **options,
 ) -> DataFrame:
     """One row per request: what the cache holds for it.
 
     Adds found, cached_prompt, cached_response, entry_id, entry_seq and score to the request
     columns. A miss has ``found = false``, empty texts and NULL id and score.
-    ``store`` ``always_miss`` and ``always_hit`` are the two baselines, which read no entries.
+    ``store`` is ``cosine`` (a minimum similarity), ``distance`` (a maximum distance) or one of the
+    baselines ``always_miss`` and ``always_hit``, which read no entries. Store and metric follow
+    from one another where one is not given.
     """
+    store, metric = S.resolve_metric(store, metric)
     if store == "always_miss":
         return _constant(requests, F.lit(False), F.lit(""), F.lit(""))
     if store == "always_hit":

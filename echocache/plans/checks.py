@@ -127,9 +127,10 @@ dialogue AS (
 recorded AS (
   SELECT prompt, arg_min(response, seq) AS response FROM dialogue WHERE response IS NOT NULL GROUP BY 1)"""
 
-_PAIRS_ASKED = """SELECT a.conv_id, a.turn, a.text AS prompt, b.text AS response
-  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
-  WHERE a.role = 'user' AND b.role = 'assistant'"""
+_PAIRS_ASKED = """SELECT conv_id, turn, text AS prompt, next_text AS response
+  FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant'"""
 
 
 def _buckets(name: str, source: str, key: str, text: str) -> str:

@@ -481,22 +481,21 @@ def stream_read_through_vectors(spark, folder):
 
 
 def _streamed(spark, folder, key):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    name = "events.parquet"
-    events = (
-        spark.readStream.schema(TB.table(spark, folder, "events").schema)
-        .option("pathGlobFilter", name)
-        .parquet(folder)
-    )
-    log = TB.log_columns(events)
+    log = TB.log_columns(TB.stream(spark, folder, "events"))
     requests = log if key else TB.one_hot(log)
     answered = stream_read_through(requests, LOG_CAPACITY, key=key)
     out = scratch_path(spark, "stream")
-    run = (
-        answered.writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
-        .trigger(availableNow=True).start(out)
-    )
-    run.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        run = (
+            answered.writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
+            .trigger(availableNow=True).start(out)
+        )
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return _served(spark.read.schema(answered.schema).parquet(out))
 
 
@@ -504,10 +503,7 @@ def _streamed(spark, folder, key):
 def stream_bounded_batches(spark, folder):
     """The request log as a stream, each micro-batch replayed from the caches before it."""
     base = scratch_path(spark, "stream")
-    events = (
-        spark.readStream.schema(TB.table(spark, folder, "events").schema)
-        .option("pathGlobFilter", "events.parquet").parquet(folder)
-    )
+    events = TB.stream(spark, folder, "events")
     serve = serve_bounded_batch(base, max_capacity=LOG_CAPACITY, key="key")
     run = (
         TB.log_columns(events).writeStream.foreachBatch(serve)

@@ -39,10 +39,11 @@ def read_through(
     entries: DataFrame,
     answer: Callable[[DataFrame], DataFrame],
     threshold: float = S.DEFAULT_THRESHOLD,
-    metric: str = "cosine",
-    store: str = "cosine",
+    metric: str | None = None,
+    store: str | None = None,
     embed: Callable[[DataFrame], DataFrame] | None = None,
     issued: DataFrame | None = None,
+    on_invalid: str = "reject",
     **options,
 ) -> ReadThrough:
     """Serve all requests from the cache as it is now; every miss is answered and stored.
@@ -50,13 +51,18 @@ def read_through(
     ``requests``: collection, request_id, seq, ts, prompt and, without ``embed``, vector.
     ``answer`` adds ``response`` to the missed requests, e.g. from an answers table or a
     generator. ``issued`` continues entry numbers; by default after those in ``entries``.
-    The lookup is written out once, because four tables are derived from it.
+    A request that cannot be compared with its collection is rejected alone; ``on_invalid="error"``
+    fails the whole run instead. The lookup is written out once, because four tables come from it.
     """
     S.check_threshold(threshold)
-    S.check_metric(metric)
-    cleaned, blank = V.split(V.clean_requests(requests), V.request_reason())
+    store, metric = S.resolve_metric(store, metric)
+    cleaned, blank = V.split(V.clean_requests(requests), V.request_reason(), on_invalid)
     embedded = materialize(embed(cleaned), "embedded") if embed is not None else cleaned
-    usable, unusable = V.split(embedded, V.request_reason(with_vector=True))
+    usable, unusable = V.split(embedded, V.request_reason(with_vector=True), on_invalid)
+    uneven = usable.limit(0).withColumn("reject_reason", F.lit(""))
+    if store in ("cosine", "distance"):
+        sized = V.dimension_reason(usable, entries).withColumnRenamed("reject_reason", "_dimension")
+        usable, uneven = (x.drop("_dimension") for x in V.split(sized, F.col("_dimension"), on_invalid))
     found = materialize(L.lookup(usable, entries, threshold, metric, store, **options), "lookup")
     served = L.hits(found).withColumn("response", F.col("cached_response"))
     answered = answer(L.misses(found).drop("cached_response"))
@@ -69,7 +75,7 @@ def read_through(
         "collection", "request_id", "prompt", "response", F.col("found").alias("cache_hit"),
         "score", "entry_id",
     ]
-    rejected = [r.select(*S.REJECT.fieldNames()) for r in (blank, unusable, failed)]
+    rejected = [r.select(*S.REJECT.fieldNames()) for r in (blank, unusable, uneven, failed)]
     return ReadThrough(
         results=served.select(*columns).unionByName(stored.select(*columns)),
         touched=served.where("entry_seq IS NOT NULL").select("collection", "entry_seq", "ts"),

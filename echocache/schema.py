@@ -75,14 +75,33 @@ def check_metric(metric: str) -> str:
     return metric
 
 
+def check_store(store: str) -> str:
+    if store not in STORES:
+        raise ValueError(f"unknown store '{store}'. Supported stores: {', '.join(STORES)}")
+    return store
+
+
+def resolve_metric(store: str | None, metric: str | None) -> tuple[str, str]:
+    """Store and metric, each filled in from the other; a similarity and a distance do not go together."""
+    if metric is not None:
+        check_metric(metric)
+    if store is None:
+        store = "distance" if metric in ("l2sq", "l2") else "cosine"
+    check_store(store)
+    if metric is None:
+        metric = "l2sq" if store == "distance" else "cosine"
+    if store in ("cosine", "distance") and (store == "cosine") != (metric == "cosine"):
+        raise ValueError(f"store '{store}' does not compare by metric '{metric}'")
+    return store, metric
+
+
 def resolve_policy(policy, store: str = "cosine") -> tuple[str, ...] | None:
     """Ordering columns of an eviction policy, or None when nothing is ever evicted.
 
     ``policy`` is ``default``, ``lru``, ``fifo``, ``none`` or a sequence of entry columns.
     ``default`` means LRU for the two real stores and no eviction for the two baselines.
     """
-    if store not in STORES:
-        raise ValueError(f"unknown store '{store}'. Supported stores: {', '.join(STORES)}")
+    check_store(store)
     if not isinstance(policy, str):
         columns = tuple(policy)
         unknown = [c for c in columns if c not in ENTRY.fieldNames()]

@@ -19,6 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its files: a folder of part files, or the one file of that name."""
+    place = f"{folder.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        return reader.parquet(place)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def _collection(by_label: bool):
     return F.concat(F.lit("c"), "label") if by_label else F.lit("all")
 

@@ -9,11 +9,11 @@ def closeness(left, right, metric):
     if metric == "cosine":
         dot = sum(x * y for x, y in zip(left, right))
         return round(dot / (math.hypot(*left) * math.hypot(*right)), 12)
-    return round(-sum((x - y) ** 2 for x, y in zip(left, right)), 12)
+    return float(f"{-sum((x - y) ** 2 for x, y in zip(left, right)):.11e}")
 
 
 def floor(threshold, metric):
-    return {"cosine": threshold, "l2sq": -threshold, "l2": -threshold * threshold}[metric]
+    return {"cosine": threshold, "l2sq": -threshold, "l2": float(f"{-threshold * threshold:.11e}")}[metric]
 
 
 def best(vector, entries, threshold, metric):

@@ -47,6 +47,11 @@ def metadata(spark, rows):
     )
 
 
+def test_a_late_insert_stays_until_the_next_one(spark):
+    held, new = metadata(spark, [("c", 1, 10)]), metadata(spark, [("c", 2, 5)])
+    assert collected(EV.bounded_append(held, new, 1), "seq") == [(2,)]
+
+
 @pytest.mark.parametrize("policy", ["lru", "fifo"])
 def test_equals_storing_one_by_one(spark, policy):
     rng = random.Random(3)
@@ -54,7 +59,8 @@ def test_equals_storing_one_by_one(spark, policy):
     for case in range(40):
         name = f"c{case}"
         held = [(i, rng.randrange(0, 6)) for i in range(rng.randrange(0, 9))]
-        coming = [(100 + i, 1000 + i) for i in range(rng.randrange(0, 9))]
+        late = rng.random() < 0.5  # inserts whose access time is older than that of kept entries
+        coming = [(100 + i, rng.randrange(0, 8) if late else 1000 + i) for i in range(rng.randrange(0, 9))]
         old += [(name, s, u) for s, u in held]
         new += [(name, s, u) for s, u in coming]
         want += [(name, s) for s in models.bounded_store(held, coming, 5, policy)]

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from echocache import schema as S
+from echocache.operators import cells as C
 from echocache.operators import lookup as L
+from echocache.sources import tables as TB
 from tests import models
 from tests.rows import collected, entries, requests
 
@@ -136,6 +138,38 @@ def test_far_from_the_origin_distances_stay_exact(spark):
     assert got.entry_seq == 2 and got.score == pytest.approx(0.2, abs=1e-9)
 
 
+def test_small_distances_are_not_rounded_away(spark):
+    held = [(1, [1e-7, 0.0]), (2, [3e-7, 0.0])]
+    got = L.nearest(requests(spark, [(1, [3e-7, 0.0])]), entries(spark, held), 1e-6, "l2").first()
+    assert (got.entry_seq, got.score) == (2, 0)
+    asked = requests(spark, [(1, [8e-7, 0.0])])
+    assert L.nearest(asked, entries(spark, held), 1e-7, "l2").isEmpty()
+
+
+@pytest.mark.parametrize("scale", [1e-7, 1.0, 1e7])
+@pytest.mark.parametrize("options", [{"index": "none"}, {"index": "pivots", "n_pivots": 32}, {}])
+def test_every_exact_index_finds_all_at_any_offset(spark, scale, options):
+    rng = np.random.default_rng(3)
+    base = scale * rng.normal(size=8)
+    held = base + rng.normal(size=(400, 8)) * min(scale, 1.0)
+    step = rng.normal(size=(400, 8))
+    asked = held + 0.04 * min(scale, 1.0) * step / np.linalg.norm(step, axis=1)[:, None]
+    rows = lambda x: list(enumerate([[float(v) for v in r] for r in x]))
+    got = L.nearest(
+        requests(spark, rows(asked)), entries(spark, rows(held)), 0.05 * min(scale, 1.0), "l2", block_rows=50, **options
+    )
+    assert collected(got, "request_id", "entry_seq") == sorted((f"r{i}", i) for i in range(400))
+
+
+def test_store_and_metric_go_together(spark):
+    asked, held = requests(spark, [(1, [1.0, 0.0])]), entries(spark, [(1, [1.0, 0.1])])
+    assert L.lookup(asked, held, 0.1, store="distance").first().found
+    with pytest.raises(ValueError, match="unknown store"):
+        L.lookup(asked, held, store="allways_hit")
+    with pytest.raises(ValueError, match="does not compare by metric"):
+        L.lookup(asked, held, store="distance", metric="cosine")
+
+
 def test_top_k_in_order_with_ties(spark):
     held = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [1.0, 1.0])]
     got = L.nearest(requests(spark, [(9, [1.0, 0.1])]), entries(spark, held), None, k=3, block_rows=2)
@@ -149,6 +183,35 @@ def test_before_sees_only_earlier_entries(spark):
     assert collected(got, "request_id", "entry_seq") == [("r5", 1), ("r6", 5)]
 
 
+def compared(visits, placed):
+    mine, other = (x.groupBy("collection", "cell").count() for x in (visits, placed))
+    pairs = mine.join(other.withColumnRenamed("count", "others"), ["collection", "cell"])
+    return pairs.selectExpr("sum(count * others)").first()[0] or 0
+
+
+def test_pivots_prune_clustered_rows(spark):
+    rng = np.random.default_rng(21)
+    vectors = list(enumerate(clustered(rng, 1200, 8, 30, 0.1)))
+    held, asked = entries(spark, vectors), requests(spark, vectors[::2])
+    pivots = C.Pivots(held, "cosine", 40)
+    assert C.worth_it(asked, held, pivots, C.radius(0.95, "cosine"))
+    visits, placed = C.pivot_cells(asked, held, "cosine", 0.95, pivots, 10)
+    assert compared(visits, placed) < 0.2 * 600 * 1200
+
+
+def test_lsh_compares_a_quarter_and_finds_most(spark):
+    folder = "/root/testdata/sf0.1"
+    asked, held = TB.vector_requests(spark, folder, False), TB.vector_entries(spark, folder, False)
+    columns = ("request_id", "entry_seq")
+    visits, placed = C.lsh_cells(
+        asked.select("collection", "request_id", "seq", "vector"), held.select("collection", "seq", "vector"),
+        "cosine", 3 * C.radius(0.8, "cosine"), 20, 8,
+    )
+    assert compared(visits, placed) < 0.25 * asked.count() * held.count()
+    exact = set(collected(L.nearest(asked, held, 0.8, index="none"), *columns))
+    assert len(exact & set(collected(L.nearest(asked, held, 0.8, index="lsh"), *columns))) >= 0.95 * len(exact)
+
+
 def test_lsh_recall_and_precision(spark):
     rng = np.random.default_rng(11)
     vectors = clustered(rng, 300, 16, 40, 0.25)

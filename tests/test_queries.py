@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, canonical
+from echocache.plans.checks import CHECKS
+from echocache.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,11 +20,12 @@ def db():
 
 
 def test_sql_belongs_to_queries():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"nearest_lsh"}
+    assert set(QUERIES) - set(CHECKS) == {"nearest_lsh"}
+    assert set(CHECKS) <= set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+@pytest.mark.parametrize("name", list(CHECKS))
 def test_query_equals_sql(spark, db, name):
     got = canonical(entry.queries()[name](spark, FOLDER).toPandas())
     want = canonical(db.sql(entry.oracle_sql()[name]).df())

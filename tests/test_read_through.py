@@ -97,10 +97,21 @@ def test_parameters_are_checked(spark):
 def test_recorded_answers_follow_their_question(spark):
     turns = spark.createDataFrame(
         [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"),
-         (2, 0, "user", "d"), (2, 1, "user", "e"), (2, 2, "assistant", "f")],
+         (2, 0, "user", "d"), (2, 1, "user", "e"), (2, 2, "assistant", "f"),
+         (3, 5, "user", "g"), (3, 9, "assistant", "h")],
         "conv_id long, turn long, role string, text string",
     )
-    assert collected(A.recorded(turns), "prompt", "response") == [("a", "b"), ("e", "f")]
+    assert collected(A.recorded(turns), "prompt", "response") == [("a", "b"), ("e", "f"), ("g", "h")]
+
+
+def test_one_request_of_another_dimension_is_rejected_alone(spark):
+    asked = requests(spark, [(1, [1.0, 0.0]), (2, [1.0])]).withColumn("prompt", F.concat(F.lit("p"), "seq"))
+    held = entries(spark, [(7, [1.0, 0.1])])
+    out = RT.read_through(asked, held, RT.fixed_answer())
+    assert collected(out.results, "request_id", "cache_hit") == [("r1", True)]
+    assert collected(out.rejected, "request_id", "reject_reason") == [("r2", S.VECTOR_DIMENSION)]
+    with pytest.raises(Exception, match=S.VECTOR_DIMENSION):
+        RT.read_through(asked, held, RT.fixed_answer(), on_invalid="error").results.collect()
 
 
 def test_first_recorded_answer_wins(spark):
