@@ -7,9 +7,9 @@ first maximal independent set of the "close enough" graph. Here it runs in round
 without an earlier undecided neighbour is stored. No edge is ever written out: each round asks the
 block join only for the best earlier match of a request.
 
-In every round the earliest rows of each collection, at most ``block_rows`` of them, are also
+In every round the earliest rows of each collection, at most ``block_rows`` of them by rank, are also
 settled one by one in a task of that size. This finishes small collections at once and bounds the
-number of rounds on long chains of similar requests.
+number of rounds on long chains of similar requests, however sparse their numbers are.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from echocache import schema as S
 from echocache.operators import blockjoin
 from echocache.operators.lookup import nearest
+from echocache.operators.rank import rank_within
 from echocache.scratch import materialize
 
 _SLICE = 256
@@ -87,12 +88,13 @@ def stored_requests(
     if entries is not None:
         served = _matched(undecided, entries, before=False, **options)
         undecided = materialize(undecided.join(served, _KEY, "left_anti"), "undecided")
+    undecided = materialize(rank_within(undecided, ["collection"], ["seq"], "place"), "undecided")
     stored = []
     while not undecided.isEmpty():
         spans = undecided.groupBy("collection").agg(
-            F.min("seq").alias("first"), F.count(F.lit(1)).alias("n")
+            F.min("place").alias("first"), F.count(F.lit(1)).alias("n")
         )
-        early = (F.col("n") <= block_rows) | (F.col("seq") < F.col("first") + block_rows)
+        early = (F.col("n") <= block_rows) | (F.col("place") < F.col("first") + block_rows)
         spanned = undecided.join(spans, "collection").withColumn("early", early)
         settled = materialize(
             spanned.where("early").select(*_KEY, "vector")
@@ -102,7 +104,7 @@ def stored_requests(
         )
         kept = materialize(undecided.join(settled.where("stored"), _KEY, "left_semi"), "stored")
         stored.append(kept)
-        rest = spanned.where(~F.col("early")).select(*_KEY, "vector")
+        rest = spanned.where(~F.col("early")).select(*_KEY, "vector", "place")
         if rest.isEmpty():
             break
         rest = materialize(
@@ -117,7 +119,7 @@ def stored_requests(
         )
     if not stored:
         return undecided.select(*_KEY, "vector")
-    return reduce(DataFrame.unionByName, stored).select(*_KEY, "vector")
+    return reduce(DataFrame.unionByName, [x.select(*_KEY, "vector") for x in stored])
 
 
 def read_through_ordered(

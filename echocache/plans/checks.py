@@ -177,6 +177,43 @@ all_buckets AS (SELECT * FROM cache_buckets UNION ALL SELECT * FROM added_bucket
 SELECT request_id, cache_hit AS first_hit, s.score >= {CHAT_THRESHOLD} AS second_hit
 FROM results r JOIN second s ON s.q = r.seq"""
 
+_EARLIER = "(1::BIGINT << 60)"  # entries come before all requests
+
+_ORDERED = f"""{_CHAT.replace('WITH', 'WITH RECURSIVE', 1)},
+present_buckets AS (
+  SELECT e - {_EARLIER} AS e, bucket, n FROM cache_buckets UNION ALL SELECT q, bucket, n FROM ask_buckets),
+lengths AS (SELECT e, sqrt(sum(n * n)) AS length FROM present_buckets GROUP BY 1),
+sims AS MATERIALIZED (
+  SELECT a.q AS i, b.e AS j, sum(a.n * b.n) / (any_value(x.length) * any_value(y.length)) AS s
+  FROM ask_buckets a JOIN present_buckets b ON b.bucket = a.bucket AND b.e < a.q
+  JOIN lengths x ON x.e = a.q JOIN lengths y ON y.e = b.e GROUP BY 1, 2),
+steps AS (
+  SELECT row_number() OVER (ORDER BY d.seq) AS n, d.seq AS i, d.request_id, d.prompt, r.response AS answer,
+         coalesce({_filled('r.response')}, false) AS usable
+  FROM dialogue d LEFT JOIN recorded r ON r.prompt = d.prompt WHERE d.seq IN (SELECT q FROM ask_buckets)),
+near AS (
+  SELECT n, any_value(steps.i) AS i, any_value(usable) AS usable, coalesce(list(j) FILTER (s >= {CHAT_THRESHOLD}), []) AS js
+  FROM steps LEFT JOIN sims ON sims.i = steps.i GROUP BY 1),
+run(n, stored, state) AS (
+  SELECT 0::BIGINT, []::BIGINT[], ''
+  UNION ALL
+  SELECT near.n,
+    CASE WHEN usable AND NOT list_has_any(run.stored, js) AND len(list_filter(js, lambda j: j < 0)) = 0
+         THEN list_append(run.stored, near.i) ELSE run.stored END,
+    CASE WHEN list_has_any(run.stored, js) OR len(list_filter(js, lambda j: j < 0)) > 0 THEN 'hit'
+         WHEN usable THEN 'stored' ELSE 'none' END
+  FROM run JOIN near ON near.n = run.n + 1),
+decided AS (SELECT steps.*, state FROM steps JOIN run USING (n)),
+present AS (
+  SELECT e - {_EARLIER} AS j, response, id FROM cached
+  UNION ALL SELECT i, answer, 'entry-' || ((SELECT count(*) FROM cached) + row_number() OVER (ORDER BY i))
+  FROM decided WHERE state = 'stored'),
+served AS (
+  SELECT sims.i, arg_min(j, (-round(s, 9), j)) AS j, max(s) AS score FROM sims JOIN present USING (j) GROUP BY 1)
+SELECT request_id, CASE WHEN state = 'hit' THEN p.response ELSE answer END AS response, state = 'hit' AS cache_hit,
+       CASE WHEN state = 'hit' THEN round(score, 6) END AS score, CASE WHEN state = 'hit' THEN p.id END AS entry_id
+FROM decided d LEFT JOIN served v ON v.i = d.i LEFT JOIN present p ON p.j = v.j WHERE state <> 'none'"""
+
 _REPORT_COLUMNS = """count(*) AS requests, count(*) FILTER (cache_hit) AS hits,
   count(*) FILTER (NOT cache_hit) AS misses, count(*) FILTER (NOT cache_hit) AS inserts,
   avg(cache_hit::INT::DOUBLE) AS hit_rate"""
@@ -258,6 +295,12 @@ FROM requests r LEFT JOIN best b USING (request_id) LEFT JOIN entries e ON e.id
     "hits_and_misses": f"""WITH {_ENTRIES}, {_REQUESTS}, {_best('l2sq', True)}
 SELECT r.request_id, CASE WHEN b.entry_id IS NULL THEN 'miss' ELSE 'hit' END AS branch, b.entry_id
 FROM requests r LEFT JOIN best b USING (request_id)""",
+    "read_through_mixed_requests": f"""WITH {_ENTRIES}, {_MARRED}, {_best('cosine', True)}
+SELECT m.request_id, CASE WHEN problem IS NULL THEN b.entry_id IS NOT NULL END AS cache_hit, problem AS reason
+FROM (SELECT *, CASE WHEN seq % 50 = 7 THEN '{S.PROMPT_BLANK}' WHEN reason IS NOT NULL THEN reason
+             WHEN len(v) <> 64 THEN '{S.VECTOR_DIMENSION}' END AS problem FROM reasons) m
+LEFT JOIN best b USING (request_id)""",
+    "ordered_dialogue": _ORDERED,
     "lookup_empty_collection": f"""WITH {_REQUESTS}
 SELECT 'unknown-' || collection AS collection, request_id, false AS found, '' AS cached_prompt,
        '' AS cached_response FROM requests""",

@@ -434,6 +434,33 @@ def read_through_ordered(spark, folder):
     )
 
 
+@query
+def ordered_dialogue(spark, folder):
+    """The dialogue in order: answers of earlier turns serve later ones, unanswered turns store nothing.
+
+    Small blocks, so that the rounds of larger tables are taken here too.
+    """
+    outcome = RT.ordered_read_through(
+        TB.dialogue(spark, folder).drop("response"), _chat_entries(spark, folder),
+        RT.from_table(_chat_answers(spark, folder)), threshold=CHAT_THRESHOLD, embed=_chat_embed, block_rows=150,
+    )
+    return _result(outcome.results)
+
+
+@query
+def read_through_mixed_requests(spark, folder):
+    """A snapshot read-through of requests of which some have no text or no comparable vector."""
+    marred = TB.marred_vectors(spark, folder).withColumn(
+        "prompt", F.when(F.col("seq") % 50 == 7, F.lit(" \t")).otherwise(F.col("prompt"))
+    )
+    outcome = RT.read_through(marred, TB.vector_entries(spark, folder), RT.fixed_answer())
+    served = outcome.results.select("request_id", "cache_hit", F.lit(None).cast("string").alias("reason"))
+    turned_away = outcome.rejected.select(
+        "request_id", F.lit(None).cast("boolean").alias("cache_hit"), F.col("reject_reason").alias("reason")
+    )
+    return served.unionByName(turned_away)
+
+
 @query
 def lru_exact_read_through(spark, folder):
     log = TB.request_log(spark, folder)

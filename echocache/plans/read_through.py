@@ -13,8 +13,11 @@ from echocache import schema as S
 from echocache.operators import answers as A
 from echocache.operators import entries as E
 from echocache.operators import lookup as L
+from echocache.operators import ordered as O
 from echocache.operators import validate as V
+from echocache.operators.blockjoin import BLOCK_ROWS
 from echocache.operators.evict import bounded_append
+from echocache.operators.lookup import nearest
 from echocache.scratch import materialize
 
 
@@ -85,6 +88,69 @@ def read_through(
     )
 
 
+def ordered_read_through(
+    requests: DataFrame,
+    entries: DataFrame,
+    answer: Callable[[DataFrame], DataFrame],
+    threshold: float = S.DEFAULT_THRESHOLD,
+    metric: str | None = None,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    issued: DataFrame | None = None,
+    on_invalid: str = "reject",
+    block_rows: int = BLOCK_ROWS,
+) -> ReadThrough:
+    """Requests in ``seq`` order: each sees the entries and what earlier requests have stored.
+
+    A miss with a usable answer is stored and can serve later requests; a miss without one is
+    rejected and stores nothing. Who is stored so depends on the answers, and they are asked for
+    before the order is worked out, for every request. Entries have smaller ``seq`` values than
+    the requests. Other parameters and the result are those of ``read_through``; a hit on an earlier
+    request has the id that its entry gets.
+    """
+    S.check_threshold(threshold)
+    _, metric = S.resolve_metric(None, metric)
+    cleaned, blank = V.split(V.clean_requests(requests), V.request_reason(), on_invalid)
+    embedded = materialize(embed(cleaned), "embedded") if embed is not None else cleaned
+    usable, unusable = V.split(embedded, V.request_reason(with_vector=True), on_invalid)
+    sized = V.dimension_reason(usable, entries).withColumnRenamed("reject_reason", "_dimension")
+    usable, uneven = (x.drop("_dimension") for x in V.split(sized, F.col("_dimension"), on_invalid))
+    answered = materialize(answer(usable), "answered")
+    storable, _ = V.split(answered, V.entry_reason())
+
+    keys = ["collection", "seq"]
+    chosen = O.stored_requests(storable, entries, threshold, metric, block_rows).select(*keys)
+    stored = materialize(storable.join(chosen, keys, "left_semi"), "stored")
+    issued = E.issued_ids(entries) if issued is None else issued
+    named = materialize(E.new_entries(stored, issued=issued)[0], "named")
+    present = entries.select(*named.columns).unionByName(named)
+    others = answered.join(chosen, keys, "left_anti")
+    found = nearest(others, present, threshold, metric, before=True, block_rows=block_rows)
+    texts = present.select(
+        "collection", F.col("seq").alias("entry_seq"), F.col("id").alias("entry_id"),
+        F.col("response").alias("cached_response"),
+    )
+    served = others.join(found.join(texts, ["collection", "entry_seq"]), ["collection", "request_id"], "left")
+    served = materialize(served, "served")
+    hits = served.where("entry_seq IS NOT NULL")
+    failed = V.split(served.where("entry_seq IS NULL"), V.entry_reason())[1]
+    none = lambda kind: F.lit(None).cast(kind)
+    results = hits.select(
+        "collection", "request_id", "prompt", F.col("cached_response").alias("response"),
+        F.lit(True).alias("cache_hit"), "score", "entry_id",
+    ).unionByName(stored.select(
+        "collection", "request_id", "prompt", "response", F.lit(False).alias("cache_hit"),
+        none("double").alias("score"), none("string").alias("entry_id"),
+    ))
+    rejected = [r.select(*S.REJECT.fieldNames()) for r in (blank, unusable, uneven, failed)]
+    return ReadThrough(
+        results=results,
+        touched=hits.select("collection", "entry_seq", "ts"),
+        rejected=reduce(DataFrame.unionByName, rejected),
+        stored=stored,
+        issued=issued,
+    )
+
+
 def from_table(answers: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Answers looked up by prompt in a table with unique prompts."""
     return lambda missed: A.attach(missed, answers)

@@ -43,6 +43,27 @@ def test_long_chain_of_similar_requests(spark):
     assert outcome(got) == models.replay(asked, 0.3, "l2")
 
 
+def rounds(monkeypatch):
+    """Counts the rounds of ``stored_requests``."""
+    seen, plain = [], O._greedy_kernel
+    monkeypatch.setattr(O, "_greedy_kernel", lambda *x: seen.append(1) or plain(*x))
+    return seen
+
+
+def test_sparse_numbers_take_no_more_rounds(spark, monkeypatch):
+    angle = np.deg2rad(13) * np.arange(40)
+    chain = [[float(np.cos(a)), float(np.sin(a)), float(i) / 9] for i, a in enumerate(angle)]
+    counted = []
+    for step in (1, 1000):
+        asked = [(step * i, v) for i, v in enumerate(chain)]
+        seen = rounds(monkeypatch)
+        got = O.read_through_ordered(requests(spark, asked), None, 0.3, "l2", 10)
+        assert outcome(got) == models.replay(asked, 0.3, "l2")
+        counted.append(len(seen))
+        monkeypatch.undo()
+    assert counted[0] == counted[1] > 1
+
+
 def test_collections_are_independent(spark):
     asked = [(i, v) for i, v in enumerate(vectors(4, 30))]
     both = requests(spark, asked, "a").unionByName(requests(spark, asked[::2], "b"))
