@@ -88,7 +88,11 @@ def kept_lines(docs: dict[int, str | None]) -> dict[int, tuple[int, str | None]]
             if plain := normalised(line):
                 places[plain].append((key, i))
     plain = list(places)
-    prints, groups = [simhash(x.split(" ")) for x in plain], Groups(range(len(plain)))
+    features = []
+    for x in plain:
+        long = [w for w in x.split(" ") if len(w) >= 4]
+        features.append(long if 2 * len(long) >= len(x.split(" ")) else x.split(" "))
+    prints, groups = [simhash(x) for x in features], Groups(range(len(plain)))
     for i, a in enumerate(plain):
         for j in range(i):
             if (prints[i] ^ prints[j]).bit_count() <= 3:
