@@ -15,8 +15,8 @@ of two fingerprints weighs each stretch by its length, up to the longer text.
 Walks of many texts go on together as arrays, longest texts first, so that a step costs a few
 nanoseconds for each text.
 
-Near texts: half a block is a band. Texts with an equal band in one of the last two stretches that
-the shorter of them reaches are candidates, and candidates of enough likeness are linked; see
+Near texts: a quarter of a block is a band. Texts with an equal band in one of the last three
+stretches that they reach are candidates, and candidates of enough likeness are linked; see
 ``buckets.linked`` for how a bucket of any size is gone through.
 
 Defined results: a null text is empty; the empty text has an empty fingerprint; likeness is 1 for
@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echocache.llm.bpe import slices
+from echocache.llm.buckets import linked
 from echocache.llm.tables import partitions
+from echocache.scratch import materialize
 
 #: Samples of a stretch, and the longest walk whose steps' random bits are made at a time.
 SAMPLES, STEPS = 32, 4_096
@@ -42,6 +44,8 @@ SAMPLES, STEPS = 32, 4_096
 HELD_CHARS = 12_000_000
 #: Likeness from which two texts are near, rows aimed at in a stretch of keys, and the most stretches.
 NEAR, STRETCH_ROWS, MAX_STRETCHES = 0.8, 4_000, 4_096
+#: Samples of a band, and the last stretches that have bands.
+BAND, BANDED = 8, 3
 
 
 def _hash(*numbers: np.ndarray | int) -> np.ndarray:
@@ -226,3 +230,47 @@ def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", seed
         "key long, n_chars long, edited string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     ).withColumnRenamed("key", key)
+
+
+def near_documents(prints: DataFrame, *, key: str = "doc_id", likeness_of: float = NEAR) -> DataFrame:
+    """``key`` and ``near_id``, the least key of the texts linked with it, itself included.
+
+    ``prints`` has ``key`` and ``fingerprint``. Equal fingerprints, those of empty texts too, are one
+    from the start. Keys that are null are linked but name nothing while another key is there.
+    """
+    rows = prints.select(F.col(key).alias("key"), "fingerprint", F.xxhash64("fingerprint").alias("node"))
+    known = materialize(
+        rows.groupBy("node").agg(F.min("key").alias("least"), F.min("fingerprint").alias("fingerprint")), "prints"
+    )
+    n_bands = BANDED * (SAMPLES // BAND)
+    first = F.greatest(F.length("fingerprint") - BANDED * SAMPLES, F.lit(0))
+    bands = F.transform(
+        F.sequence(F.lit(0), F.lit(n_bands - 1)),
+        lambda i: F.struct((first + i * BAND).alias("at"), F.substring("fingerprint", first + i * BAND + 1, BAND).alias("band")),
+    )
+    # A band past the end of the walk, or of a shorter fingerprint, says nothing.
+    bands = F.filter(bands, lambda b: (F.length(b["band"]) == BAND) & ~F.contains(b["band"], F.lit(".")))
+    members = known.select("node", F.explode(bands).alias("b")).select(
+        F.xxhash64("b.at", "b.band").alias("bucket"), "node", F.lit(0).cast("long").alias("of")
+    )
+
+    def check(pairs: DataFrame) -> DataFrame:
+        side = lambda x: known.select(F.col("node").alias(x), F.col("fingerprint").alias(f"print_{x}"))
+        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, x, y = (batch[c].to_pylist() for c in ("a", "b", "print_a", "print_b"))
+                near = [likeness(unpacked(p), unpacked(q)) >= likeness_of for p, q in zip(x, y)]
+                keep = pa.array(near, pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"]
+                )
+
+        return both.mapInArrow(run, "a long, b long")
+
+    found = linked(members, lambda a, b: F.lit(True), check)
+    classes = known.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class"))
+    named = classes.groupBy("class").agg(F.min("least").alias("near_id"))
+    named = materialize(classes.join(named, "class").select("node", "near_id"), "near")
+    return rows.join(named, "node").select(F.col("key").alias(key), "near_id")

@@ -1,5 +1,6 @@
 """Operators on Spark: brute force, SQL, and rows that are odd in every way."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -222,6 +223,27 @@ def test_hot_stretches_of_keys(spark):
     assert Counter((r.doc_id, r.edited) for r in got) == want
 
 
+def test_near_documents(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijk") for _ in range(6)) for _ in range(400)]
+    base = [" ".join(rnd.choice(words) for _ in range(160)) for _ in range(30)]
+    near = [x[:400] + "#" + x[400:] for x in base[:10]]
+    rows = list(enumerate([*base, *near, base[3], "", None]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = edits.fingerprints(df).select("doc_id", "fingerprint")
+    got = {r.doc_id: r.near_id for r in edits.near_documents(prints).collect()}
+    assert got[40] == 3 and got[41] == got[42] == 41 and len(got) == 43
+    held = {r.doc_id: edits.unpacked(r.fingerprint) for r in prints.collect()}
+    groups = brute.Groups(range(43))
+    for i in range(43):
+        for j in range(i):
+            if edits.likeness(held[i], held[j]) >= 0.8:
+                groups.join(i, j)
+    want = {i: groups.find(i) for i in range(43)}
+    assert all(got[i] in (want[i], i) for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 40 and sum(want[30 + i] == i for i in range(10)) >= 6
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 99), (99, 98), (5, 5), (None, 3), (200, 100)]
     got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
