@@ -54,11 +54,21 @@ def test_blocks_are_bounded_for_a_hot_collection(spark, monkeypatch):
     assert best.count() == 3000 and blocks.value >= 100
 
 
-def test_touch_and_delete_shuffle_keys_not_texts(spark):
+def test_delete_shuffles_only_keys_of_the_victims(spark):
     held = TB.vector_entries(spark, FOLDER)
-    victims = held.where("seq % 2 = 0").select("collection", "seq")
-    text = plan(E.delete(held, victims))
-    assert "LeftAnti" in text and "Cartesian" not in text
+    victims = held.where("seq % 2 = 0").select("collection", "seq", "prompt")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        deleted = E.delete(held, victims)
+        text = plan(deleted)
+        assert "LeftAnti" in text and "Cartesian" not in text and text.count("Exchange hashpartitioning") == 2
+        # The right side of the join carries the two key columns and nothing else.
+        join = deleted._jdf.queryExecution().optimizedPlan().collectLeaves()
+        right = deleted._jdf.queryExecution().optimizedPlan().toString().rsplit("Project [", 1)[1].split("]")[0]
+        assert join.size() == 2 and "prompt" not in right and "vector" not in right
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_metadata_scan_is_pruned(spark):
