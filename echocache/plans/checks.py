@@ -282,6 +282,8 @@ SELECT seq, round(list_distance(v, list_reverse(v)) ** 2, 6) AS l2sq,
     "embed_hash": f"""WITH {_DOC_BUCKETS}, shown AS (
   SELECT doc_id, string_agg(bucket || ':' || n::INT, ' ' ORDER BY bucket) AS buckets FROM b GROUP BY 1)
 SELECT doc_id, coalesce(buckets, '') AS buckets FROM documents LEFT JOIN shown USING (doc_id)""",
+    "embed_model": f"""WITH {_TURNS}, plain AS (SELECT request_id, {_strip('prompt')} AS p FROM turns WHERE {_filled('prompt')})
+SELECT request_id, {', '.join(f"(length(p) - length(replace(p, '{c}', '')))::BIGINT AS {c}" for c in 'aeiou')} FROM plain""",
     "nearest_cosine": _nearest("cosine"),
     "nearest_indexed": _nearest("cosine"),
     "nearest_l2sq": _nearest("l2sq"),

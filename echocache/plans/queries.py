@@ -195,6 +195,19 @@ def embed_hash(spark, folder):
     return EM.embed_hash(docs, dim=CHAT_DIM).select("doc_id", shown.alias("buckets"))
 
 
+def _letters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A plugged-in model: how often each vowel is in a prompt."""
+    for prompts in batches:
+        yield prompts.map(lambda text: [float(text.count(c)) for c in "aeiou"])
+
+
+@query
+def embed_model(spark, folder):
+    turns = VA.split(VA.clean_requests(TB.marred_turns(spark, folder)), VA.request_reason())[0]
+    letters = [F.get("vector", i).cast("long").alias(c) for i, c in enumerate("aeiou")]
+    return EM.embed_with(turns, _letters).select("request_id", *letters)
+
+
 # Lookup
 
 
