@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bounds of what a worker remembers; results do not depend on them.
-MAX_STATES, MAX_CHUNKS, MAX_CHUNK_CHARS, MAX_PAIRS = 200_000, 450_000, 64, 500_000
+MAX_STATES, MAX_CHUNKS, MAX_CHUNK_CHARS, MAX_PAIRS = 200_000, 250_000, 64, 500_000
 #: A state's missing transition is built when it is asked for more often than this; before, the
 #: rest of a match of at most so many bytes is run without building states that nobody may need.
 COLD, AHEAD = 16, 256
