@@ -297,6 +297,23 @@ def test_lines_by_brute_force(spark, texts):
     assert got == {k: (n, brute.digest(x)) for k, (n, x) in brute.kept_lines(texts).items()}
 
 
+def test_lines_with_one_letter_changed_are_linked(spark, texts):
+    plain = sorted({brute.normalised(x) for t in texts.values() for x in (t or "").split("\n")})
+    rng, rows = random.Random(3), []
+    for low, high in ((5, 14), (15, 50), (51, 160), (161, 600)):
+        fits = [x for x in plain if low <= len(x) <= high]
+        for x in rng.sample(fits, min(25, len(fits))):
+            at = rng.choice([i for i, c in enumerate(x) if c != " "])
+            rows.append((2 * len(rows), x, x[:at] + ("q" if x[at] != "q" else "z") + x[at + 1 :]))
+    df = spark.createDataFrame([r for k, x, y in rows for r in ((k, x), (k + 1, y))], "doc_id long, text string")
+    found, linked = lines.groups(df, "doc_id", "text", lines.SIMILARITY)
+    node = {r.doc: r.node for r in found.collect()}
+    own = {r.node: r.component for r in linked.collect()}
+    same = [own.get(node[k], node[k]) == own.get(node[k + 1], node[k + 1]) for k, _, _ in rows]
+    short = [x for x, (_, y, _) in zip(same, rows) if len(y) <= lines.SHORT]
+    assert all(short) and sum(same) >= 0.95 * len(rows) > 80
+
+
 def test_shards_by_brute_force(spark, texts):
     got = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in queries.op10_sharding(spark, FOLDER).collect()}
     total, at, slots = sum(len(x.encode()) + 1 for x in texts.values()), 0, Counter()
