@@ -4,7 +4,8 @@ Two histograms of each document, of character classes and of common words, are c
 reference of its language by Jensen-Shannon distance (base 2, so between 0 and 1). A document is
 kept if it passes the base rules and the mean of both distances is at most ``MAX_DISTANCE``. The
 distance counts only from ``MIN_WORDS`` words on: shorter histograms are mostly noise. A document
-in a language without a reference, or in none, is held against the nearest of all references.
+in a language without a reference, or in none, has the distances to the nearest of all references,
+but only the base rules decide whether it is kept: its script and words say nothing about quality.
 
 Everything is an expression over one row, so nothing is shuffled. Arrays that are used more than
 once get a column of their own; repeated windows are found by sorting packed 64-bit numbers, and
@@ -188,12 +189,13 @@ def _judged(df: DataFrame, text: str, lang: str) -> DataFrame:
             ((n < MIN_WORDS) | (100 * F.col("_q_repeat") > MAX_REPEAT_PERCENT * n)).alias("base_failed"),
             _by_language(lang, by_chars, F.least(*by_chars.values())).alias("char_distance"),
             _by_language(lang, by_words, F.least(*by_words.values())).alias("word_distance"),
+            F.coalesce(lang.isin(*COMMON_WORDS), F.lit(False)).alias("referenced"),
         ).alias("_q"),
     )
     mean = (F.col("_q.char_distance") + F.col("_q.word_distance")) / 2
-    far = F.coalesce((F.col("_q.n_words") >= MIN_WORDS) & (mean > MAX_DISTANCE), F.lit(False))
+    far = F.coalesce(F.col("_q.referenced") & (F.col("_q.n_words") >= MIN_WORDS) & (mean > MAX_DISTANCE), F.lit(False))
     kept = (~F.col("_q.base_failed") & ~far).alias("kept")
-    return out.select("row", F.struct("_q.*", kept).alias("verdict"))
+    return out.select("row", F.struct("_q.*", kept).dropFields("referenced").alias("verdict"))
 
 
 def measure(

@@ -314,6 +314,20 @@ def test_lines_with_one_letter_changed_are_linked(spark, texts):
     assert all(short) and sum(same) >= 0.95 * len(rows) > 80
 
 
+def test_clean_text_of_a_language_without_reference_is_kept(spark):
+    text = (
+        "Утром старый рыбак вышел к реке, чтобы проверить сети и найти лодку, которую унесло ночью далеко от берега. "
+        "Его внук шёл рядом и спрашивал, почему вода весной такая мутная и куда улетают птицы, когда становится холодно. "
+        "Дед отвечал не сразу, он долго смотрел на другой берег, где стоял лес, и потом рассказывал о том, как жил здесь раньше. "
+        "К полудню они вернулись домой, сварили уху, позвали соседей и до самого вечера говорили о погоде и урожае."
+    )
+    rows = [(1, text, "ru"), (2, text, None), (3, text, "en"), (4, text[:60], "ru")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: (r.quality.kept, r.quality.base_failed) for r in quality.measure(df).collect()}
+    assert kept[3] == (False, kept[1][1]) and kept[4] == (False, True)
+    assert {r.doc_id for r in quality.accepted(df).collect()} == {k for k, x in kept.items() if x[0]} == {1, 2}
+
+
 def test_shards_by_brute_force(spark, texts):
     got = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in queries.op10_sharding(spark, FOLDER).collect()}
     total, at, slots = sum(len(x.encode()) + 1 for x in texts.values()), 0, Counter()
