@@ -328,6 +328,14 @@ def test_clean_text_of_a_language_without_reference_is_kept(spark):
     assert {r.doc_id for r in quality.accepted(df).collect()} == {k for k, x in kept.items() if x[0]} == {1, 2}
 
 
+def test_near_copies_of_a_very_long_line_are_linked(spark):
+    long = [f"w{i * 7919 % 40_009}" for i in range(33_000)]
+    near = [*long[:20_000], "other", *long[20_001:]]
+    df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:16_000]))], "doc_id long, text string")
+    got = {r.doc_id: len(r.text.split()) for r in lines.dedup_lines(df).collect()}
+    assert got == {1: 33_000, 2: 0, 3: 16_000}
+
+
 def test_shards_by_brute_force(spark, texts):
     got = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in queries.op10_sharding(spark, FOLDER).collect()}
     total, at, slots = sum(len(x.encode()) + 1 for x in texts.values()), 0, Counter()
