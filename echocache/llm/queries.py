@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe, checks, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls
+from echocache.llm import bpe, checks, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls, whitening
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -136,6 +136,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    model = whitening.fit(rows, scale=1024, shift=100_000)
+    explained = F.array(*(F.lit(x) for x in (model.explained if model else [])))
+    return (
+        whitening.transform(rows, model)
+        .select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+        .select(
+            "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"),
+            F.col("deviation").cast("long").alias("deviation"), "whitened",
+            F.get(explained.cast("array<double>"), F.col("at")).alias("explained"),
+            F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+        )
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_source_mixing": op2_source_mixing,
@@ -147,6 +163,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
 }
 
 CHECKS = {
