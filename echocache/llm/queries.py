@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe, checks, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls, whitening
+from echocache.llm import bpe, checks, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls, variants, whitening
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -152,6 +152,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "word", "form", "root", "n", "n_near", "form_n"
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_source_mixing": op2_source_mixing,
@@ -164,6 +170,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op11_whitening": op11_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 CHECKS = {
