@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocache.llm import bpe, checks, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls, variants, whitening
+from echocache.llm import bpe, checks, classifier, counts, edits, lines, mixing, quality, sharding, simhash, substrings, urls, variants, whitening
 from echocache.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -152,6 +152,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return classifier.score(docs, model, drop=("text",)).select(
+        "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents", "doc_id", "text")).select(
         "word", "form", "root", "n", "n_near", "form_n"
@@ -170,6 +179,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op11_whitening": op11_whitening,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_spelling_variants": op13_spelling_variants,
 }
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +33,28 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Schema of arrays of numbers that are added up, as bytes, and how many of them come to the driver.
+SUMS, LAST = "sums binary", 4
+
+
+def total_batch(parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row with the sum of all arrays; none without arrays."""
+    total = None
+    for x in parts:
+        total = x if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def summed(parts: DataFrame, kind: type) -> np.ndarray | None:
+    """The sum of all arrays of ``kind`` in a table of ``SUMS``, in two steps of shuffles; None of no rows."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from total_batch(np.frombuffer(x.as_py(), kind) for b in batches for x in b.column(0))
+
+    for n in (max(LAST, partitions(parts.sparkSession)), LAST):
+        parts = parts.repartition(n).mapInArrow(again, SUMS)
+    found = [np.frombuffer(r.sums, kind) for r in parts.collect()]
+    return sum(found[1:], found[0]) if found else None

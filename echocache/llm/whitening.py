@@ -13,7 +13,7 @@ whitened rows is from the identity.
 Entries are first put on a grid of whole numbers, ``floor(scale * c) + shift``. Sums and deviations of whole
 numbers are exact, so they do not depend on how rows are dealt to tasks, and rows are centred before
 anything is rounded. What leaves a task is one Gram matrix, and matrices are added up in two steps of
-shuffles, so the driver gets ``LAST`` of them at any number of tasks. The table is read once in each pass and
+shuffles, so the driver gets a few of them at any number of tasks. The table is read once in each pass and
 nothing is written down: a lost executor costs the tasks it ran.
 
 Defined results: rows whose vector is null, is of another length than the most common one (of equally
@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echocache.llm.bpe import extended
-from echocache.llm.tables import partitions
+from echocache.llm.tables import SUMS, summed, total_batch
 
 COMPONENTS = 8
 #: Gram passes after the first, at most, and how far from the identity the last may be.
 ROUNDS, ORTHOGONAL = 4, 1e-12
-#: Matrices that come to the driver, and largest whole number of an entry.
-LAST, LARGEST = 4, 1 << 52
+#: Largest whole number of an entry.
+LARGEST = 1 << 52
 _EPS = float(np.finfo(float).eps)
 
 
@@ -108,26 +108,13 @@ def _summed(
 ) -> np.ndarray | None:
     """The sum over all rows of what ``part`` makes of a batch of whole numbers, a flat array of ``width``."""
 
-    def add(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for x in parts:
-            total = x if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (grid.rows(b.column(0))[1] for b in batches)
-        yield from add(part(x) for x in found if len(x))
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from add(np.frombuffer(x.as_py(), kind) for b in batches for x in b.column(0))
+        yield from total_batch(part(x) for x in found if len(x))
 
-    sums = df.select(vector).mapInArrow(each, "sums binary")
-    for n in (max(LAST, partitions(df.sparkSession)), LAST):
-        sums = sums.repartition(n).mapInArrow(again, "sums binary")
-    found = [np.frombuffer(r.sums, kind) for r in sums.collect()]
-    assert all(len(x) == width for x in found)
-    return sum(found[1:], found[0]) if found else None
+    found = summed(df.select(vector).mapInArrow(each, SUMS), kind)
+    assert found is None or len(found) == width
+    return found
 
 
 def _factor(gram: np.ndarray, shift: float) -> np.ndarray:
