@@ -124,10 +124,10 @@ def test_labelled_documents_are_bounded(spark, monkeypatch):
 
 def test_temperature_and_training():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(600, 5))
+    x = rng.normal(size=(4000, 5))
     y = (x[:, 0] * x[:, 1] > 0).astype(float)  # no single layer can tell
     net = classifier.train(x, y, rounds=80)
     fresh = rng.normal(size=(400, 5))
     assert ((net.scores(fresh) > 0.5) == (fresh[:, 0] * fresh[:, 1] > 0)).mean() > 0.85
-    noisy = classifier.train(x, rng.integers(0, 2, 600).astype(float))
+    noisy = classifier.train(x, rng.integers(0, 2, 4000).astype(float))
     assert noisy.temperature > 1.5 and net.temperature < noisy.temperature
