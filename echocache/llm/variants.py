@@ -8,7 +8,8 @@ other. So pivots look up prefixes, never all bigrams of all words. The position
 allows. What lies on one side of the whole pivot is the same in both words, so a pivot is looked up together
 with that side and the length of the other word: the first pivot with all before it, for edits behind it, and the
 second with all after it, for edits at or before the first. A pair that comes up must then agree outside of the
-stretch that the edit can be in, and its edit distance is computed. Each pair comes up once.
+stretch that the edit can be in, and its edit distance is computed. Each pair comes up once. Before that, counts of
+letters, up to two of each kind as bits of one number, may differ in two bits only.
 
 Words of more than ``LONG`` code points can repeat one bigram very often. A pair with such a word has either
 the first or the second half of it in common, so these are looked up by halves.
@@ -135,6 +136,20 @@ def _key(side: int, hashed: int, length: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def letter_bits(word: str) -> int:
+    """Two bits for each of 32 kinds of letters: whether there is one, and whether there are more.
+
+    A letter more or less changes one bit at most.
+    """
+    once = twice = 0
+    for c in word:
+        bit = 1 << (ord(c) - 97 if c <= "z" else 26 + ord(c) % 6)
+        twice |= once & bit
+        once |= bit
+    x = once | twice << 32
+    return x - (1 << 64) if x >> 63 else x
+
+
 #: What a key is for: the first pivot with all before it, the second with all after it, and halves.
 _FIRST, _SECOND, _LEFT, _RIGHT = range(4)
 
@@ -165,31 +180,33 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ``words`` has ``word``, distinct words of ``LETTERS`` and at least six code points, and ``n``.
     """
     ranks = gram_ranks(words)
-    schema = "word string, n long, p1 int, p2 int, last int, held array<long>, asked array<struct<kind: int, key: long>>"
+    schema = "word string, n long, bits long, p1 int, p2 int, last int, held array<long>, asked array<struct<kind: int, key: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.struct([("kind", pa.int32()), ("key", pa.int64())]))
         for batch in batches:
-            p1, p2, last, held, asked = zip(*(keys(w, ranks) for w in batch.column(0).to_pylist())) if batch.num_rows else [()] * 5
+            words = batch.column(0).to_pylist()
+            p1, p2, last, held, asked = zip(*(keys(w, ranks) for w in words)) if words else [()] * 5
+            bits = pa.array(map(letter_bits, words), pa.int64())
             asked = [[{"kind": k, "key": x} for k, x in one] for one in asked]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(x, pa.int32()) for x in (p1, p2, last)), pa.array(held, pa.list_(pa.int64())), pa.array(asked, kinds)],
-                ["word", "n", "p1", "p2", "last", "held", "asked"],
+                [*batch.columns, bits, *(pa.array(x, pa.int32()) for x in (p1, p2, last)), pa.array(held, pa.list_(pa.int64())), pa.array(asked, kinds)],
+                ["word", "n", "bits", "p1", "p2", "last", "held", "asked"],
             )
 
     signed = materialize(words.select("word", "n").mapInArrow(run, schema), "signed")
-    found = signed.select(F.explode("held").alias("key"), F.struct("word", "n", "last").alias("b"))
-    asking = signed.select(F.explode("asked").alias("asked"), F.struct("word", "n", "last", "p1", "p2").alias("a"))
-    asking = asking.select("asked.key", "asked.kind", "a")
+    side = lambda x, *more: [F.col(c).alias(f"{x}_{c}") for c in ("word", "n", "bits", "last", *more)]
+    found = signed.select(F.explode("held").alias("key"), *side("b"))
+    asking = signed.select(F.explode("asked").alias("asked"), *side("a", "p1", "p2")).select("asked.*", "*").drop("asked")
 
-    a, b, p1, p2 = F.col("a.word"), F.col("b.word"), F.col("a.p1"), F.col("a.p2")
+    a, b, p1, p2 = F.col("a_word"), F.col("b_word"), F.col("a_p1"), F.col("a_p2")
     shift = F.length(b) - F.length(a)
     start = lambda x, n: F.substring(x, F.lit(1), n)
     since = lambda x, n: F.substring(x, n + 1, F.length(x))
     same_start = lambda n: start(a, n) == start(b, n)
     same_end = lambda n: since(a, n) == since(b, n + shift)
     # The prefix of one word ends first; equal ends go by the word, so one of both asks for the other.
-    first = (F.col("a.last") < F.col("b.last")) | ((F.col("a.last") == F.col("b.last")) & (a < b))
+    first = (F.col("a_last") < F.col("b_last")) | ((F.col("a_last") == F.col("b_last")) & (a < b))
     short = (F.length(a) <= LONG) & (F.length(b) <= LONG)
     in_front = same_end(p1 + 2)  # the edit is at or before the first pivot
     behind = same_start(p2) | (same_start(p1 + 2) & same_end(p2))
@@ -201,9 +218,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
         .when(F.col("kind") == _LEFT, ~short & (a < b) & left & ~right)
         .otherwise(~short & (a < b) & right)
     )
-    near = F.expr("levenshtein(a.word, b.word, 1) = 1")
-    return asking.join(found, "key").where(fits & near).select(
-        a.alias("a"), F.col("a.n").alias("n_a"), b.alias("b"), F.col("b.n").alias("n_b")
+    maybe = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2
+    near = F.expr("levenshtein(a_word, b_word, 1) = 1")
+    return asking.join(found, "key").where(maybe & fits & near).select(
+        a.alias("a"), F.col("a_n").alias("n_a"), b.alias("b"), F.col("b_n").alias("n_b")
     )
 
 
