@@ -10,15 +10,21 @@ block join only for the best earlier match of a request.
 In every round the earliest rows of each collection, at most ``block_rows`` of them by rank, are also
 settled one by one in a task of that size. This finishes small collections at once and bounds the
 number of rounds on long chains of similar requests, however sparse their numbers are.
+
+With a generator, who is stored depends on the answers, and only a miss may be asked. ``answered_in_order``
+therefore asks in rounds: only requests without an undecided earlier neighbour, which are misses whatever
+else happens. Usable answers decide the neighbours as hits; a blank one takes its request out, and those that
+waited for it are looked at again in the next round. Rounds are as many as answers that depend on one another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echocache import schema as S
@@ -122,6 +128,44 @@ def stored_requests(
     return reduce(DataFrame.unionByName, [x.select(*_KEY, "vector") for x in stored])
 
 
+def answered_in_order(
+    requests: DataFrame,
+    entries: DataFrame,
+    answer: Callable[[DataFrame], DataFrame],
+    usable: Column,
+    threshold: float = S.DEFAULT_THRESHOLD,
+    metric: str = "cosine",
+    block_rows: int = blockjoin.BLOCK_ROWS,
+) -> DataFrame:
+    """The requests that were asked for an answer, with what ``answer`` adds to them.
+
+    ``answer`` is called with misses only, and with each of them once. ``usable`` tells whether an
+    answered request is stored; an answer depends on the prompt, so a prompt that got none is not
+    asked for again, and its later requests store nothing. Equal requests are asked for once: the first
+    is stored and serves the others, or they have no answer either.
+    """
+    options = {"threshold": threshold, "metric": metric, "block_rows": block_rows}
+    same = F.struct(F.xxhash64("prompt"), "prompt", F.col("vector").cast(S.VECTOR))
+    firsts = requests.groupBy("collection", same.alias("same")).agg(F.min("seq").alias("seq"))
+    undecided = requests.join(firsts.select(*_KEY), _KEY, "left_semi")
+    undecided = materialize(undecided.withColumn("vector", F.col("vector").cast(S.VECTOR)), "undecided")
+    served = _matched(undecided, entries, before=False, **options)
+    undecided = materialize(undecided.join(served, _KEY, "left_anti"), "undecided")
+    rounds = []
+    while not undecided.isEmpty() or not rounds:
+        waiting = _matched(undecided, undecided, before=True, **options)
+        free = materialize(undecided.join(waiting, _KEY, "left_anti"), "free")
+        asked = materialize(answer(free), "answered")
+        rounds.append(asked)
+        stored, failed = (asked.where(usable == told) for told in (True, False))
+        rest = undecided.join(free.select(*_KEY), _KEY, "left_anti")
+        if not failed.isEmpty():
+            rest = rest.join(failed.select("prompt").distinct(), "prompt", "left_anti").select(*undecided.columns)
+        rest = materialize(rest, "undecided")
+        undecided = materialize(rest.join(_matched(rest, stored, before=True, **options), _KEY, "left_anti"), "undecided")
+    return reduce(DataFrame.unionByName, rounds)
+
+
 def read_through_ordered(
     requests: DataFrame,
     entries: DataFrame | None = None,

@@ -102,10 +102,10 @@ def ordered_read_through(
     """Requests in ``seq`` order: each sees the entries and what earlier requests have stored.
 
     A miss with a usable answer is stored and can serve later requests; a miss without one is
-    rejected and stores nothing. Who is stored so depends on the answers, and they are asked for
-    before the order is worked out, for every request. Entries have smaller ``seq`` values than
-    the requests. Other parameters and the result are those of ``read_through``; a hit on an earlier
-    request has the id that its entry gets.
+    rejected and stores nothing. ``answer`` gets misses only, in as many calls as answers depend on
+    one another, and each miss once; a prompt that got no usable answer is not asked for again.
+    Entries have smaller ``seq`` values than the requests. Other parameters and the result are those of
+    ``read_through``; a hit on an earlier request has the id that its entry gets.
     """
     S.check_threshold(threshold)
     _, metric = S.resolve_metric(None, metric)
@@ -114,16 +114,17 @@ def ordered_read_through(
     usable, unusable = V.split(embedded, V.request_reason(with_vector=True), on_invalid)
     sized = V.dimension_reason(usable, entries).withColumnRenamed("reject_reason", "_dimension")
     usable, uneven = (x.drop("_dimension") for x in V.split(sized, F.col("_dimension"), on_invalid))
-    answered = materialize(answer(usable), "answered")
-    storable, _ = V.split(answered, V.entry_reason())
+    usable = materialize(usable, "usable")
+    storable = V.entry_reason().isNull()
+    answered = O.answered_in_order(usable, entries, answer, storable, threshold, metric, block_rows)
+    answered = materialize(answered, "answered")
 
     keys = ["collection", "seq"]
-    chosen = O.stored_requests(storable, entries, threshold, metric, block_rows).select(*keys)
-    stored = materialize(storable.join(chosen, keys, "left_semi"), "stored")
+    stored, blank_answers = V.split(answered, V.entry_reason())
     issued = E.issued_ids(entries) if issued is None else issued
     named = materialize(E.new_entries(stored, issued=issued)[0], "named")
     present = entries.select(*named.columns).unionByName(named)
-    others = answered.join(chosen, keys, "left_anti")
+    others = usable.join(stored.select(*keys), keys, "left_anti")
     found = nearest(others, present, threshold, metric, before=True, block_rows=block_rows)
     texts = present.select(
         "collection", F.col("seq").alias("entry_seq"), F.col("id").alias("entry_id"),
@@ -132,7 +133,9 @@ def ordered_read_through(
     served = others.join(found.join(texts, ["collection", "entry_seq"]), ["collection", "request_id"], "left")
     served = materialize(served, "served")
     hits = served.where("entry_seq IS NOT NULL")
-    failed = V.split(served.where("entry_seq IS NULL"), V.entry_reason())[1]
+    # A request that nobody serves had no usable answer, or one of its prompt had none.
+    reasons = blank_answers.groupBy("prompt").agg(F.min("reject_reason").alias("reject_reason"))
+    failed = served.where("entry_seq IS NULL").join(reasons, "prompt", "left")
     none = lambda kind: F.lit(None).cast(kind)
     results = hits.select(
         "collection", "request_id", "prompt", F.col("cached_response").alias("response"),

@@ -1,0 +1,167 @@
+"""Ordered read-through with a generator: only misses are asked, each once, whatever answers fail."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from echocache import schema as S
+from echocache.plans import read_through as RT
+from tests import models
+from tests.rows import at, entries, requests
+
+BLANK = " \n"
+
+
+def in_order(asked, held, answers, threshold, metric):
+    """What each request gets, one after another; and who misses."""
+    present, out, missed, failed = list(held), {}, [], set()
+    for seq, prompt, vector in asked:
+        found = models.best(vector, present, threshold, metric)
+        if found is not None:
+            out[seq] = ("hit", found[0])
+            continue
+        missed.append(seq)
+        if prompt in failed or not answers[prompt].strip():
+            failed.add(prompt)
+            out[seq] = ("rejected", None)
+        else:
+            present.append((seq, vector))
+            out[seq] = ("stored", None)
+    return out, missed
+
+
+def cases(n):
+    """Small random collections: near vectors, copies, entries from before, answers that fail."""
+    rng = np.random.default_rng(17)
+    for i in range(n):
+        size, dim = int(rng.integers(1, 14)), int(rng.integers(1, 4))
+        vectors = [[float(x) for x in rng.integers(1, 5, dim)] for _ in range(size)]
+        alike = i % 3 == 0  # some prompts come again, with their vector
+        prompts = [f"p{i}-{min(k, vectors.index(v)) if alike else k}" for k, v in enumerate(vectors)]
+        answers = {p: BLANK if rng.random() < (0, 0.3, 0.7, 1)[i % 4] else f"answer to {p}" for p in prompts}
+        seqs = sorted(int(x) for x in rng.choice(1000, size, replace=False))
+        held = [(-k - 1, [float(x) for x in rng.integers(1, 5, dim)]) for k in range(int(rng.integers(0, 2)))]
+        yield f"c{i}", list(zip(seqs, prompts, vectors)), held, answers
+
+
+def run(spark, listed, threshold, metric, block_rows):
+    asked_rows, held_rows, answers, calls = [], [], {}, []
+    for name, asked, held, told in listed:
+        asked_rows += [(name, f"{name}-{s}", s, at(s), p, v) for s, p, v in asked]
+        held_rows += [(name, f"entry-{s}", s, "old", "old answer", v, float(np.linalg.norm(v)), at(s), at(s)) for s, v in held]
+        answers |= told
+    table = spark.createDataFrame(list(answers.items()), "prompt string, response string")
+
+    def answer(missed: DataFrame) -> DataFrame:
+        calls.append([r.request_id for r in missed.collect()])
+        return RT.from_table(table)(missed)
+
+    out = RT.ordered_read_through(
+        spark.createDataFrame(asked_rows, S.REQUEST), spark.createDataFrame(held_rows, S.ENTRY), answer,
+        threshold=threshold, metric=metric, block_rows=block_rows,
+    )
+    got = {}
+    entry_seq = {(r.collection, r.id): r.seq for r in out.new_entries.select("collection", "id", "seq").collect()}
+    for r in out.results.collect():
+        if r.cache_hit:
+            known = entry_seq.get((r.collection, r.entry_id))
+            got[r.request_id] = ("hit", known if known is not None else int(r.entry_id.removeprefix("entry-")))
+        else:
+            got[r.request_id] = ("stored", None)
+    got |= {r.request_id: ("rejected", None) for r in out.rejected.collect()}
+    return got, calls
+
+
+@pytest.mark.parametrize("threshold, metric, block_rows", [(0.95, "cosine", 8192), (1.0, "l2sq", 3)])
+def test_300_random_cases_equal_one_by_one(spark, threshold, metric, block_rows):
+    listed = list(cases(300))
+    got, calls = run(spark, listed, threshold, metric, block_rows)
+    asked = [x for one in calls for x in one]
+    assert len(asked) == len(set(asked))  # nobody is asked twice
+    kinds = set()
+    for i, (name, rows, held, answers) in enumerate(listed):
+        want, missed = in_order(rows, held, answers, threshold, metric)
+        assert {s: got[f"{name}-{s}"] for s, _, _ in rows} == want, name
+        mine = {int(x.split("-", 1)[1]) for x in asked if x.split("-", 1)[0] == name}
+        assert mine <= set(missed), name  # hits are never asked for
+        prompts = [p for s, p, _ in rows if s in set(missed)]
+        if len(prompts) == len(set(prompts)):
+            assert mine == set(missed), name
+        else:  # a prompt without an answer is asked for once
+            assert mine == {s for s, p, _ in rows if s in set(missed) and s == min(t for t, q, _ in rows if q == p and t in missed)}
+        kinds |= {k for k, _ in want.values()}
+    assert kinds == {"hit", "stored", "rejected"}
+
+
+def test_generator_runs_once_for_each_miss(spark):
+    called = spark.sparkContext.accumulator(0)
+
+    def generator(batches):
+        for prompts in batches:
+            called.add(len(prompts))
+            yield pd.Series([BLANK if p.endswith("7") else f"re {p}" for p in prompts])
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=3)], f"prompt {i}") for i in range(120)]
+    out = RT.ordered_read_through(requests(spark, rows), entries(spark, []), RT.from_generator(generator), threshold=0.9)
+    answers = {p: BLANK if p.endswith("7") else "x" for _, _, p in rows}
+    want, missed = in_order([(s, p, v) for s, v, p in rows], [], answers, 0.9, "cosine")
+    hits = out.results.where("cache_hit").count()
+    assert hits == sum(k == "hit" for k, _ in want.values()) > 20
+    assert out.rejected.count() == sum(k == "rejected" for k, _ in want.values()) > 0
+    assert out.new_entries.count() == len(missed) - out.rejected.count()
+    assert called.value == len(missed) < len(rows)
+
+
+def test_one_request_repeated_calls_once(spark):
+    calls = []
+
+    def answer(missed):
+        calls.append(missed.count())
+        return RT.fixed_answer()(missed)
+
+    rows = [(i, [0.1, 0.2, 0.3], "the same") for i in range(50)]
+    out = RT.ordered_read_through(requests(spark, rows), entries(spark, []), answer, threshold=0.8)
+    assert sorted(r.cache_hit for r in out.results.collect()) == [False] + [True] * 49 and sum(calls) == 1
+
+
+def test_hot_prompt_without_an_answer_takes_one_round(spark):
+    calls = []
+
+    def answer(missed):
+        calls.append(missed.count())
+        return missed.withColumn("response", F.when(F.col("prompt") != "hot", F.lit("yes")))
+
+    rows = [(i, [1.0, 0.0], "hot") for i in range(300)] + [(300, [0.0, 1.0], "other"), (301, [1.0, 0.1], "third"), (302, [1.0, 0.0], "hot")]
+    out = RT.ordered_read_through(requests(spark, rows), entries(spark, []), answer, threshold=0.9)
+    got = {r.request_id: (r.cache_hit, r.response) for r in out.results.collect()}
+    assert got == {"r300": (False, "yes"), "r301": (False, "yes"), "r302": (True, "yes")}
+    reasons = [r.reject_reason for r in out.rejected.collect()]
+    assert len(set(reasons)) == 1 and "response" in reasons[0]
+    assert len(reasons) == 300 and sum(calls) == 3 and len([c for c in calls if c]) == 2
+
+
+def test_a_chain_of_neighbours_alternates(spark):
+    turn = lambda i: [float(np.cos(i * 0.4)), float(np.sin(i * 0.4))]  # noqa: E731  each is near the next only
+    rows = [(i, turn(i), f"p{i}") for i in range(9)]
+    answered = []
+
+    def answer(missed):
+        answered.append(sorted(r.seq for r in missed.select("seq").collect()))
+        return missed.withColumn("response", F.when(F.col("seq") != 2, F.lit("yes")))
+
+    out = RT.ordered_read_through(requests(spark, rows), entries(spark, []), answer, threshold=0.9)
+    stored = sorted(r.seq for r in out.stored.select("seq").collect())
+    # 0 serves 1; 2 has no answer, so 3 is stored and serves 4; 5 is stored, and so on.
+    assert stored == [0, 3, 5, 7] and reduce(list.__add__, answered) == [0, 2, 3, 5, 7]
+
+
+def test_no_requests(spark):
+    out = RT.ordered_read_through(requests(spark, []), entries(spark, [(1, [1.0, 0.0])]), RT.fixed_answer())
+    assert out.results.count() == out.rejected.count() == out.new_entries.count() == 0
