@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echocache import schema as S
@@ -41,20 +41,37 @@ def radius(threshold: float, metric: str) -> float:
     return float(np.sqrt(max(squared[metric], 0.0)))
 
 
+def drawn(rows: DataFrame, order: Column, n: int, total: int | None, *ties: str) -> list[list[float]]:
+    """Vectors of the ``n`` rows with the smallest ``order``, a hash.
+
+    With the ``total`` of the rows, a cut-off on the hash lets through four times as many as wanted, so that a
+    task sends a few rows and not ``n``. Where that should be too few, all rows are asked.
+    """
+    share = 1.0 if not total else 4.0 * n / total
+    rows = rows.select("vector", order.alias("_order"), *ties)
+    take = lambda x: [r.vector for r in x.orderBy("_order", *ties).limit(n).select("vector").collect()]
+    if share >= 1:
+        return take(rows)
+    found = take(rows.where(F.col("_order") < F.lit(-(1 << 63) + int(share * (1 << 64)))))
+    return found if len(found) >= n else take(rows)
+
+
 class Pivots:
     """A fixed small set of entries, numbered, held by the driver and sent to the tasks.
 
-    They are the ``n_pivots`` entries with the smallest hashed key. Collections may have different
-    dimensions; a row is only measured against pivots of its own.
+    They are the ``n_pivots`` entries with the smallest hashed key, or vectors given as a list. Collections may
+    have different dimensions; a row is only measured against pivots of its own.
     """
 
-    def __init__(self, entries: DataFrame, metric: str, n_pivots: int):
-        order = F.xxhash64("collection", "seq")
-        rows = entries.orderBy(order, "collection", "seq").select("vector").limit(n_pivots).collect()
+    def __init__(self, entries: DataFrame | list, metric: str, n_pivots: int = 0, total: int | None = None):
+        if isinstance(entries, list):
+            self.vectors = entries
+        else:
+            self.vectors = drawn(entries, F.xxhash64("collection", "seq"), n_pivots, total, "collection", "seq")
         by_size: dict[int, list] = {}
-        for number, row in enumerate(rows):
-            by_size.setdefault(len(row.vector), []).append((number, row.vector))
-        self.metric, self.n = metric, len(rows)
+        for number, vector in enumerate(self.vectors):
+            by_size.setdefault(len(vector), []).append((number, vector))
+        self.metric, self.n = metric, len(self.vectors)
         self.groups = {
             size: (np.array([n for n, _ in group]), points(np.array([v for _, v in group]), metric))
             for size, group in by_size.items()
@@ -128,7 +145,7 @@ class Cells:
         return out
 
 
-def _placed(pivots: Pivots, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def measured(pivots: Pivots, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest pivot of each row, the distance to it and the error of its square."""
     n = len(vectors)
     cell, gap, wrong = np.full(n, _WHOLE), np.zeros(n), np.zeros(n)
@@ -141,18 +158,19 @@ def _placed(pivots: Pivots, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return cell, gap, wrong
 
 
-def worth_it(requests: DataFrame, entries: DataFrame, pivots: Pivots, reach: float) -> bool:
+def worth_it(
+    requests: DataFrame, entries: DataFrame, pivots: Pivots, reach: float, totals: tuple[int, int] = (0, 0)
+) -> bool:
     """Whether pivots drop enough pairs, tried out on a few rows of each side.
 
     The answer decides how the work is done, not what is found. At most ``TRIED`` vectors of each
     side come to the driver.
     """
     order = lambda *c: F.xxhash64(F.lit(1), *c)
-    some = lambda rows, *c: pa.array(
-        [r.vector for r in rows.orderBy(order(*c)).select("vector").limit(TRIED).collect()], pa.list_(pa.float64())
-    )
-    held, asked = some(entries, "collection", "seq"), some(requests, "collection", "request_id")
-    cell, gap, wrong = _placed(pivots, held)
+    some = lambda rows, n, *c: pa.array(drawn(rows, order(*c), TRIED, n), pa.list_(pa.float64()))
+    held = some(entries, totals[1], "collection", "seq")
+    asked = some(requests, totals[0], "collection", "request_id")
+    cell, gap, wrong = measured(pivots, held)
     # Every tried entry as a ring of its own shows what rings can do.
     known = {int(c) * RINGS: None for c in cell if c >= 0}
     found = {}
@@ -194,7 +212,7 @@ def pivot_cells(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, gap, wrong = _placed(pivots, batch["vector"])
+            cell, gap, wrong = measured(pivots, batch["vector"])
             cell[batch["n_entries"].to_numpy() <= small_collection] = _WHOLE
             table = pa.Table.from_batches([batch]).drop_columns(["n_entries"])
             table = table.append_column("pivot", pa.array(cell.astype(np.int32)))
@@ -207,17 +225,30 @@ def pivot_cells(
         ),
         "placed",
     )
-    # At most one row of RINGS numbers for each pivot.
-    parts = [i / RINGS for i in range(1, RINGS)]
-    edges = placed.where("pivot >= 0").groupBy("pivot").agg(F.percentile_approx("gap", parts, 1000).alias("edges"))
+    edges = ring_edges(placed)
     ring = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("gap"))), F.lit(0))
     cell = F.when(F.col("pivot") < 0, F.lit(_WHOLE)).otherwise(F.col("pivot") * RINGS + ring)
     placed = placed.join(F.broadcast(edges), "pivot", "left").withColumn("cell", cell.cast("int"))
     spans = placed.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("error").alias("e"))
-    used = {
+    cells = Cells(ranges(spans), pivots.gaps(), reach)
+    return visits(asked, pivots, cells), placed.select("collection", "seq", "vector", "cell")
+
+
+def ring_edges(placed: DataFrame) -> DataFrame:
+    """``RINGS`` - 1 distances for each pivot that has entries, between its rings."""
+    parts = [i / RINGS for i in range(1, RINGS)]
+    return placed.where("pivot >= 0").groupBy("pivot").agg(F.percentile_approx("gap", parts, 1000).alias("edges"))
+
+
+def ranges(spans: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """What ``Cells`` wants to know of each cell, from its least and largest gap ``a``, ``b`` and error ``e``."""
+    return {
         r.cell: (math.sqrt(max(r.a * r.a - r.e, 0.0)), math.sqrt(r.b * r.b + r.e), r.e) for r in spans.collect()
     }
-    cells = Cells(used, pivots.gaps(), reach)
+
+
+def visits(asked: DataFrame, pivots: Pivots, cells: Cells) -> DataFrame:
+    """A row of collection, request_id, seq, vector and cell for each cell that a request has to look at."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,11 +260,10 @@ def pivot_cells(
             yield from table.append_column("cells", pa.array(lists, pa.list_(pa.int32()))).to_batches()
 
     # Visits to cells that a collection does not have meet no entries and disappear in the join.
-    visits = asked.mapInArrow(
+    return asked.mapInArrow(
         visit,
         "collection string, request_id string, seq long, vector array<double>, cells array<int>",
     ).select("collection", "request_id", "seq", "vector", F.explode("cells").alias("cell"))
-    return visits, placed.select("collection", "seq", "vector", "cell")
 
 
 def lsh_cells(

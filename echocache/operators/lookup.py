@@ -63,8 +63,10 @@ def nearest(
     pivots = None
     if index == "pivots" and entry_rows or index == "auto" and threshold is not None and blocks > 4:
         wanted = min(n_pivots or max(8, min(blocks, MAX_PIVOTS)), MAX_PIVOTS)
-        pivots = cells.Pivots(right, metric, wanted)
-        if index == "auto" and not cells.worth_it(left, right, pivots, cells.radius(threshold, metric)):
+        pivots = cells.Pivots(right, metric, wanted, entry_rows)
+        if index == "auto" and not cells.worth_it(
+            left, right, pivots, cells.radius(threshold, metric), (request_rows, entry_rows)
+        ):
             pivots = None
     index = index if index == "lsh" else "none" if pivots is None else "pivots"
     if index == "none" or not entry_rows:
@@ -110,7 +112,11 @@ def lookup(
             requests, F.lit(True), F.lit(S.BASELINE_CACHED_PROMPT),
             F.lit(S.BASELINE_CACHED_RESPONSE),
         )
-    best = nearest(requests, entries, threshold, metric, **options)
+    return with_texts(requests, entries, nearest(requests, entries, threshold, metric, **options))
+
+
+def with_texts(requests: DataFrame, entries: DataFrame, best: DataFrame) -> DataFrame:
+    """The result of ``lookup`` from the best entry of each request that has one."""
     texts = entries.select(
         "collection",
         F.col("seq").alias("entry_seq"),

@@ -293,6 +293,10 @@ SELECT request_id, entry_seq, round(score, 6) AS score, place::INT AS place FROM
     "lookup_result": f"""WITH {_ENTRIES}, {_REQUESTS}, {_best('cosine', True)}
 SELECT r.collection, r.request_id, b.entry_id IS NOT NULL AS found, coalesce(e.prompt, '') AS prompt,
        coalesce(e.response, '') AS response, b.entry_id, round(b.score, 6) AS score
+FROM requests r LEFT JOIN best b USING (request_id) LEFT JOIN entries e ON e.id = b.entry_id""",
+    "lookup_stored_index": f"""WITH {_ENTRIES.replace('FROM embeddings)', 'FROM embeddings WHERE vec_id % 7 <> 2)')}, {_REQUESTS}, {_best('cosine', True)}
+SELECT r.collection, r.request_id, b.entry_id IS NOT NULL AS found, coalesce(e.response, '') AS cached_response, b.entry_id,
+       round(b.score, 6) AS score
 FROM requests r LEFT JOIN best b USING (request_id) LEFT JOIN entries e ON e.id = b.entry_id""",
     "hits_and_misses": f"""WITH {_ENTRIES}, {_REQUESTS}, {_best('l2sq', True)}
 SELECT r.request_id, CASE WHEN b.entry_id IS NULL THEN 'miss' ELSE 'hit' END AS branch, b.entry_id

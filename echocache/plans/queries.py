@@ -23,6 +23,7 @@ from echocache.operators import validate as VA
 from echocache.plans import read_through as RT
 from echocache.scratch import materialize, scratch_path
 from echocache.sources import tables as TB
+from echocache.sources.clustered import ClusteredStore
 from echocache.sources.store import CacheStore
 from echocache.streaming.snapshot import serve_batch
 from echocache.streaming.stateful import ROCKSDB, serve_bounded_batch, stream_read_through
@@ -240,6 +241,18 @@ def nearest_indexed(spark, folder):
     return _nearest(spark, folder, index="pivots", n_pivots=16, block_rows=256)
 
 
+@query
+def lookup_stored_index(spark, folder):
+    """A lookup by a second instance, from a store that is its own index: two batches, then deletes."""
+    path, entries = scratch_path(spark, "clustered"), TB.vector_entries(spark, folder)
+    store = ClusteredStore(spark, path)
+    store.append(entries.where("seq % 3 > 0"), 0)
+    store.append(entries.where("seq % 3 = 0"), 1)
+    store.delete(entries.where("seq % 7 = 2"), 2)
+    found = ClusteredStore(spark, path).lookup(TB.vector_requests(spark, folder))
+    return found.select("collection", "request_id", "found", "cached_response", "entry_id", _six("score"))
+
+
 @query
 def nearest_lsh(spark, folder):
     return _nearest(spark, folder, index="lsh")
