@@ -49,12 +49,17 @@ def total_batch(parts: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def summed(parts: DataFrame, kind: type) -> np.ndarray | None:
-    """The sum of all arrays of ``kind`` in a table of ``SUMS``, in two steps of shuffles; None of no rows."""
+    """The sum of all arrays of ``kind`` in a table of ``SUMS``; None of no rows.
+
+    Each step of shuffles leaves an eighth of the arrays, so no task gets more of them as the table grows.
+    """
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from total_batch(np.frombuffer(x.as_py(), kind) for b in batches for x in b.column(0))
 
-    for n in (max(LAST, partitions(parts.sparkSession)), LAST):
+    n = 8 * max(LAST, partitions(parts.sparkSession))
+    while n > LAST:
+        n = max(LAST, n // 8)
         parts = parts.repartition(n).mapInArrow(again, SUMS)
     found = [np.frombuffer(r.sums, kind) for r in parts.collect()]
     return sum(found[1:], found[0]) if found else None

@@ -80,6 +80,48 @@ def normalised(line: str) -> str:
     return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
 
 
+def line_bits(plain: str) -> int:
+    """60 bits of a line, of the least hashes of its words."""
+    signed = {xxhash.xxh64(x.encode(), seed=42).intdigest() for x in plain.split(" ")}
+    hashed = sorted(x - (1 << 64) if x >> 63 else x for x in signed)[:15]
+    return sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+
+
+def two_blocks(a: int, b: int) -> bool:
+    return sum(not ((a ^ b) >> at) & 0xFFF for at in range(0, 60, 12)) >= 2
+
+
+def holes(x: str) -> set[str]:
+    return {x} | {x[:i] + x[i + 1 :] for i in range(len(x))}
+
+
+def pieces(x: str) -> set[tuple]:
+    """What is left without one of four pieces, of a line of this length or one more."""
+    out = set()
+    for more in (0, 1):
+        n = len(x) + more
+        for j in range(4):
+            at, end = n * j // 4, n * (j + 1) // 4
+            out.add((j, n, x[:at], x[end - more :]))
+    return out
+
+
+def candidates(a: str, b: str, bits: dict[str, int]) -> bool:
+    """Whether two lines share a bucket, and are near enough for the edit distance."""
+    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
+    if shorter < 0.9 * longer - 1e-6:
+        return False
+    printed = shorter >= 31
+    near = printed and (bits[a] ^ bits[b]).bit_count() <= 6
+    if not near and longer - shorter > 1:
+        return False
+    return (
+        printed and two_blocks(bits[a], bits[b])
+        or shorter >= 9 and longer <= 40 and bool(holes(a) & holes(b))
+        or shorter >= 40 and bool(pieces(a) & pieces(b))
+    )
+
+
 def kept_lines(docs: dict[int, str | None]) -> dict[int, tuple[int, str | None]]:
     """Removed lines and the text that stays."""
     places = defaultdict(list)
@@ -88,16 +130,11 @@ def kept_lines(docs: dict[int, str | None]) -> dict[int, tuple[int, str | None]]
             if plain := normalised(line):
                 places[plain].append((key, i))
     plain = list(places)
-    features = []
-    for x in plain:
-        long = [w for w in x.split(" ") if len(w) >= 4]
-        features.append(long if 2 * len(long) >= len(x.split(" ")) else x.split(" "))
-    prints, groups = [simhash(x) for x in features], Groups(range(len(plain)))
+    bits, groups = {x: line_bits(x) for x in plain}, Groups(range(len(plain)))
     for i, a in enumerate(plain):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
-                b = plain[j]
-                if edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            if candidates(a, plain[j], bits):
+                if edit_distance(a, plain[j]) <= min(256, int(0.1 * max(len(a), len(plain[j])) + 1e-9)):
                     groups.join(i, j)
     members, gone = defaultdict(list), defaultdict(set)
     for i, x in enumerate(plain):
