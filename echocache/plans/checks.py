@@ -306,6 +306,7 @@ SELECT m.request_id, CASE WHEN problem IS NULL THEN b.entry_id IS NOT NULL END A
 FROM (SELECT *, CASE WHEN seq % 50 = 7 THEN '{S.PROMPT_BLANK}' WHEN reason IS NOT NULL THEN reason
              WHEN len(v) <> 64 THEN '{S.VECTOR_DIMENSION}' END AS problem FROM reasons) m
 LEFT JOIN best b USING (request_id)""",
+    "nearest_sparse": f"{_CHAT} SELECT request_id, c.id AS entry_id, round(score, 6) AS score FROM first_run f JOIN cached c ON c.e = f.e WHERE hit",
     "ordered_dialogue": _ORDERED,
     "lookup_empty_collection": f"""WITH {_REQUESTS}
 SELECT 'unknown-' || collection AS collection, request_id, false AS found, '' AS cached_prompt,

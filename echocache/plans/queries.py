@@ -19,6 +19,7 @@ from echocache.operators import lookup as L
 from echocache.operators import ordered as O
 from echocache.operators import replay as R
 from echocache.operators import report as RP
+from echocache.operators import sparse as SP
 from echocache.operators import validate as VA
 from echocache.plans import read_through as RT
 from echocache.scratch import materialize, scratch_path
@@ -460,6 +461,17 @@ def read_through_ordered(spark, folder):
     )
 
 
+@query
+def nearest_sparse(spark, folder):
+    """Token counts are mostly zeros: the closest cached turn of each turn by an inverted index."""
+    entries = _chat_entries(spark, folder)
+    asked = _chat_embed(VA.split(VA.clean_requests(TB.dialogue(spark, folder)), VA.request_reason())[0])
+    asked = VA.split(asked, VA.request_reason(with_vector=True))[0]
+    found = SP.nearest_sparse(asked, entries, CHAT_THRESHOLD)
+    ids = entries.select("collection", F.col("seq").alias("entry_seq"), F.col("id").alias("entry_id"))
+    return found.join(ids, ["collection", "entry_seq"]).select("request_id", "entry_id", _six("score"))
+
+
 @query
 def ordered_dialogue(spark, folder):
     """The dialogue in order: answers of earlier turns serve later ones, unanswered turns store nothing.
