@@ -66,7 +66,7 @@ h AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERC
         {', '.join(f"{_js('classes', str(list(CHARACTER_SHARES[x])))} AS h_{x}" for x in COMMON_WORDS)} FROM f),
 v AS (SELECT *, ({cases(char)} ELSE {least(char)} END + {cases(word)} ELSE {least(word)} END) / 2 AS mean FROM h)
 SELECT doc_id, n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(n_words >= {MIN_WORDS} AND mean > {MAX_DISTANCE}, false) AS kept,
+       NOT base_failed AND NOT coalesce(lang IN ({', '.join(_text(x) for x in COMMON_WORDS)}) AND n_words >= {MIN_WORDS} AND mean > {MAX_DISTANCE}, false) AS kept,
        round(mean, 6) AS divergence
 FROM v"""
 
@@ -113,9 +113,13 @@ WITH weights(path, weight) AS (VALUES {listed}),
 d AS (SELECT doc_id, lang, source, TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) AS number,
         len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS n_tokens FROM documents),
 t AS (SELECT *, CASE WHEN number < 10 THEN 'crawl' WHEN number >= 10 THEN 'curated' ELSE 'unknown' END AS domain FROM d),
-leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+every AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+none AS (SELECT path FROM weights WHERE weight <= 0),
+leaves AS (SELECT * FROM every WHERE concat(domain) NOT IN (SELECT path FROM none)
+  AND concat(domain, '/', lang) NOT IN (SELECT path FROM none)
+  AND concat(domain, '/', lang, '/', source) NOT IN (SELECT path FROM none)),
 n1 AS (SELECT domain, sum(tokens)::BIGINT * {MAX_EPOCHS} AS held, any_value(w.weight) AS given,
-         (SELECT sum(tokens) FROM leaves)::BIGINT AS total
+         (SELECT sum(tokens) FROM every)::BIGINT AS total
        FROM leaves LEFT JOIN weights w ON w.path = domain GROUP BY domain),
 m1 AS (SELECT *, coalesce(given, {DEFAULT_WEIGHT})::BIGINT AS weight, 0 AS root FROM n1),
 {_share_out('b1', 'm1', 'root', 'domain')},

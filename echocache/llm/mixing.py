@@ -81,15 +81,21 @@ def budgets(
     """Leaves with ``tokens`` get their ``budget``, out of ``total`` tokens for the whole tree.
 
     ``weights`` are whole numbers by the names on the way from the root, joined by ``/``; a node
-    that is not listed has ``DEFAULT_WEIGHT``.
+    that is not listed has ``DEFAULT_WEIGHT``. What lies below a node of weight 0 gets nothing, and does not
+    count as something that its ancestors hold, so that their other branches and siblings get its share.
     """
     spark = leaves.sparkSession
+    none, live = [k for k, w in weights.items() if int(w) <= 0], leaves
     listed = spark.createDataFrame([(k, int(w)) for k, w in weights.items()] or [("", 0)], "path string, weight long")
     parents = None
+    path_of = lambda names: F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
+    if none:
+        for depth in range(1, len(levels) + 1):
+            live = live.where(~path_of(levels[:depth]).isin(none))
     for depth in range(1, len(levels) + 1):
         names, above = levels[:depth], levels[: depth - 1]
-        path = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names))
-        nodes = leaves.groupBy(*names).agg((F.sum("tokens") * max_epochs).alias("held"))
+        path = path_of(names)
+        nodes = live.groupBy(*names).agg((F.sum("tokens") * max_epochs).alias("held"))
         nodes = (
             nodes.withColumn("path", path).join(listed, "path", "left")
             .withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).drop("path")

@@ -15,6 +15,7 @@ from check import TABLES, canonical
 from echocache.llm import (
     bpe,
     buckets,
+    checks,
     components,
     counts,
     edits,
@@ -438,3 +439,41 @@ def test_mixing_redistributes_to_siblings_first(spark):
     }
     # c holds 30 of its 60; the other 30 go to a and b by 5 : 4. In a, y takes what x cannot use.
     assert got == {("a", "x"): 10, ("a", "y"): 306, ("b", "x"): 248, ("b", "y"): 5, ("c", None): 30}
+
+
+def test_a_weight_of_zero_leaves_its_share_to_others(spark):
+    leaves = spark.createDataFrame(
+        [("crawl", "en", 1000), ("crawl", "de", 10), ("curated", "en", 1000), ("curated", "de", 1000)], "d string, l string, tokens long"
+    )
+    weights = {"crawl": 50, "curated": 50, "crawl/en": 0}
+    got = {(r.d, r.l): r.budget for r in mixing.budgets(leaves, ["d", "l"], weights, 600, 1).collect()}
+    # crawl holds 10 of its 300; the other 290 go to curated.
+    assert got == {("crawl", "en"): 0, ("crawl", "de"): 10, ("curated", "en"): 295, ("curated", "de"): 295}
+
+
+@pytest.mark.parametrize("more", [{}, {"crawl/en": 0}, {"curated": 0}, {"crawl/de/src3": 0, "crawl/en": 0}])
+def test_mixing_equals_sql_with_weights_of_zero(spark, docs, more):
+    documents = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src3").otherwise("src11")).toPandas()  # noqa: F841
+    weights = queries.MIX_WEIGHTS | more
+    want = canonical(duckdb.sql(checks.mixing_sql(weights, 5)).df())
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
+    found = mixing.mix(spark.createDataFrame(documents), queries.mix_levels(), weights, key="doc_id", tokens=n_words, seed=5)
+    got = found.select("doc_id", "mix.domain", "mix.lang", "mix.source", "mix.n_tokens", F.col("mix.epoch").cast("long").alias("epoch"))
+    got = canonical(got.toPandas())
+    assert list(got.columns) == list(want.columns) and got.map(repr).equals(want.map(repr)) and len(got)
+
+
+def test_quality_equals_sql_on_a_fifth_language(spark, docs):
+    documents = docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "ru").when(F.col("doc_id") % 4 == 1, None).otherwise(F.col("lang"))).toPandas()
+    want = dict(duckdb.sql(f"SELECT doc_id, kept FROM ({checks.quality_sql()})").fetchall())
+    got = {r.doc_id: r.quality.kept for r in quality.measure(spark.createDataFrame(documents)).collect()}
+    assert got == want
+
+
+def test_a_sample_of_splitters_is_bounded(spark):
+    rows = spark.range(20_000).select(
+        F.col("id").alias("key"), F.lit(0).cast("long").alias("tie"), F.col("id").alias("number"),
+        F.when(F.col("id") == 7, 10_000_000).otherwise(100).cast("long").alias("size"), F.lit(0).alias("range"),
+    )
+    cuts = sharding._sample(rows, {0: 20}, 12_000_000, 1)
+    assert 5 <= len(cuts) <= 20 and cuts == sorted(cuts)
