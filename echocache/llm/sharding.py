@@ -57,20 +57,19 @@ def _held(rows: DataFrame, cuts: list[Cut]) -> tuple[DataFrame, dict[int, tuple[
     return ranged, {r.range: (r.n, r.bytes) for r in sums.collect()}
 
 
-def _sample(ranged: DataFrame, wanted: dict[int, int], seed: int) -> list[Cut]:
+def _sample(ranged: DataFrame, wanted: dict[int, int], n_bytes: int, seed: int) -> list[Cut]:
     """Boundaries inside the ranges of ``wanted``, each into that many parts of equal bytes.
 
-    The chance of a record grows with its size: those with the largest log(u) / size are taken,
-    with u from a hash. The sample is bounded by ``MAX_RANGES * SAMPLED`` records.
+    The chance of a record grows with its size: it is drawn if log(u) / size, with u from a hash, is above
+    a cut that follows from the bytes of the ranges. At most four times ``MAX_RANGES * SAMPLED`` records are to be
+    expected; each task sends only those it has drawn.
     """
     unit = (F.pmod(F.xxhash64("tie", "number", F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
     draw = F.log(unit) / F.greatest("size", F.lit(1))
     n = min(sum(wanted.values()), MAX_RANGES) * SAMPLED
     drawn = (
-        ranged.where(F.col("range").isin(list(wanted)))
-        .select("range", "key", "tie", "number", draw.alias("draw"))
-        .orderBy(F.desc("draw"))
-        .limit(n)
+        ranged.where(F.col("range").isin(list(wanted)) & (draw > -4 * n / max(1, n_bytes)))
+        .select("range", "key", "tie", "number")
         .collect()
     )
     cuts = []
@@ -112,7 +111,8 @@ def assign(
         byte_share = max(1, min(RANGE_BYTES, -(-n_bytes // n_shards)), -(-n_bytes // MAX_RANGES))
         full = {at: max(-(-n // row_share), -(-b // byte_share)) for at, (n, b) in held.items() if n > 1}
         wanted = {at: 2 * parts for at, parts in full.items() if parts > (2 if turn else 1)}
-        more = _sample(ranged, wanted, seed + turn) if wanted else []
+        mass = sum(max(held[at]) for at in wanted)
+        more = _sample(ranged, wanted, mass, seed + turn) if wanted else []
         if not set(more) - set(cuts):
             break
         cuts = sorted({*cuts, *more})
