@@ -47,7 +47,7 @@ CLASS_PATTERNS = (
 )
 WORD_ENDS = "[\\x20\\x09-\\x0D.,;:!?]+"
 
-#: Low bits of a packed window that hold its place.
+#: Low bits of a packed window that hold its place. A text of more than 2^28 words is an error.
 _PLACE_BITS = 28
 
 
@@ -92,9 +92,10 @@ def _judged(df: DataFrame, text: str, lang: str) -> DataFrame:
     n = F.size(w)
 
     # Windows of three words: hash, and the high bits of the hash packed with the place.
+    long = F.raise_error(F.lit(f"a text has more than {1 << _PLACE_BITS} words")).cast("array<bigint>")
     out = out.withColumn(
         "_q_hashes",
-        F.when(
+        F.when(n > 1 << _PLACE_BITS, long).when(
             n >= 3,
             F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])),
         ).otherwise(F.array().cast("array<bigint>")),
