@@ -22,7 +22,7 @@ from echocache.scratch import materialize
 # Error of a squared distance computed from products, as a share of both squared lengths.
 _ERROR = 1e-12
 # The cell of collections that are kept whole.
-_WHOLE = -1
+WHOLE = -1
 # Parts by distance from its pivot that a pivot's entries are cut into.
 RINGS = 8
 # Rows tried out before an index is built, and the share of pairs that must go for it to pay.
@@ -121,10 +121,15 @@ class Cells:
         found = np.array([cells[c] for c in self.ids]).reshape(len(self.ids), 3)
         self.least, self.most, self.error = found.T
         self.between, self.reach = between, reach
-        self.whole = _WHOLE in cells
+        self.whole = WHOLE in cells
 
-    def visited(self, number: np.ndarray, squared: np.ndarray, error: np.ndarray) -> np.ndarray:
-        """(row, cell index) matrix of what has to be compared; ``number`` are the pivots measured."""
+    def visited(
+        self, number: np.ndarray, squared: np.ndarray, error: np.ndarray, reach: np.ndarray | None = None
+    ) -> np.ndarray:
+        """(row, cell index) matrix of what has to be compared; ``number`` are the pivots measured.
+
+        Rows may have a ``reach`` of their own.
+        """
         place = np.full(len(self.between), -1)
         place[number] = np.arange(len(number))
         at = place[self.pivot]
@@ -133,14 +138,15 @@ class Cells:
         if not len(some) or not len(squared):
             return out
         near, wrong, column = squared.argmin(axis=1), error, at[some]
-        room = self.reach * (1 + 1e-9)
+        room = (self.reach if reach is None else reach[:, None]) * (1 + 1e-9)
         keep = _low(squared, wrong)[:, column] <= self.most[some] + room
         keep &= _high(squared, wrong)[:, column] >= self.least[some] - room
         rows = np.arange(len(squared))
         apart = self.between[self.pivot[some][None, :], number[near][:, None]]
         beyond = squared[:, column] - squared[rows, near][:, None]
         slack = wrong[:, column] + wrong[rows, near][:, None] + 2 * self.error[some]
-        keep &= (beyond - slack <= 2 * apart * room) | (apart == 0)
+        with np.errstate(invalid="ignore"):  # no distance times an infinite reach
+            keep &= (beyond - slack <= 2 * apart * room) | (apart == 0)
         out[:, some] = keep
         return out
 
@@ -148,7 +154,7 @@ class Cells:
 def measured(pivots: Pivots, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest pivot of each row, the distance to it and the error of its square."""
     n = len(vectors)
-    cell, gap, wrong = np.full(n, _WHOLE), np.zeros(n), np.zeros(n)
+    cell, gap, wrong = np.full(n, WHOLE), np.zeros(n), np.zeros(n)
     for rows, number, squared, error in pivots.distances(vectors):
         if len(number):
             near = squared.argmin(axis=1)
@@ -210,28 +216,35 @@ def pivot_cells(
     sized = entries.join(known, "collection").select("collection", "seq", checked, "n_entries")
     asked = requests.join(known, "collection").select("collection", "request_id", "seq", checked)
 
+    placed = place_in_rings(sized, pivots, small_collection)
+    spans = placed.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("error").alias("e"))
+    cells = Cells(ranges(spans), pivots.gaps(), reach)
+    return visits(asked, pivots, cells), placed.select("collection", "seq", "vector", "cell")
+
+
+def place_in_rings(entries: DataFrame, pivots: Pivots, small_collection: int | None = None) -> DataFrame:
+    """collection, seq and vector with ``pivot``, ``gap``, ``error`` and ``cell``.
+
+    With ``small_collection``, entries with at most so many in their column ``n_entries`` share one cell.
+    """
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, gap, wrong = measured(pivots, batch["vector"])
-            cell[batch["n_entries"].to_numpy() <= small_collection] = _WHOLE
-            table = pa.Table.from_batches([batch]).drop_columns(["n_entries"])
+            table = pa.Table.from_batches([batch])
+            if small_collection is not None:
+                cell[batch["n_entries"].to_numpy() <= small_collection] = WHOLE
+                table = table.drop_columns(["n_entries"])
             table = table.append_column("pivot", pa.array(cell.astype(np.int32)))
             table = table.append_column("gap", pa.array(gap))
             yield from table.append_column("error", pa.array(wrong)).to_batches()
 
-    placed = materialize(
-        sized.mapInArrow(
-            assign, "collection string, seq long, vector array<double>, pivot int, gap double, error double"
-        ),
-        "placed",
-    )
+    schema = "collection string, seq long, vector array<double>, pivot int, gap double, error double"
+    placed = materialize(entries.mapInArrow(assign, schema), "placed")
     edges = ring_edges(placed)
     ring = F.coalesce(F.size(F.filter("edges", lambda e: e < F.col("gap"))), F.lit(0))
-    cell = F.when(F.col("pivot") < 0, F.lit(_WHOLE)).otherwise(F.col("pivot") * RINGS + ring)
-    placed = placed.join(F.broadcast(edges), "pivot", "left").withColumn("cell", cell.cast("int"))
-    spans = placed.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("error").alias("e"))
-    cells = Cells(ranges(spans), pivots.gaps(), reach)
-    return visits(asked, pivots, cells), placed.select("collection", "seq", "vector", "cell")
+    cell = F.when(F.col("pivot") < 0, F.lit(WHOLE)).otherwise(F.col("pivot") * RINGS + ring)
+    return placed.join(F.broadcast(edges), "pivot", "left").withColumn("cell", cell.cast("int"))
 
 
 def ring_edges(placed: DataFrame) -> DataFrame:
@@ -252,7 +265,7 @@ def visits(asked: DataFrame, pivots: Pivots, cells: Cells) -> DataFrame:
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [[_WHOLE] if cells.whole else [] for _ in range(batch.num_rows)]
+            lists = [[WHOLE] if cells.whole else [] for _ in range(batch.num_rows)]
             for rows, number, squared, error in pivots.distances(batch["vector"]):
                 for row, kept in zip(rows, cells.visited(number, squared, error)):
                     lists[row] += cells.ids[kept].tolist()

@@ -288,6 +288,8 @@ SELECT request_id, {', '.join(f"(length(p) - length(replace(p, '{c}', '')))::BIG
     "nearest_indexed": _nearest("cosine"),
     "nearest_l2sq": _nearest("l2sq"),
     "nearest_l2": _nearest("l2"),
+    "top_k_by_cells": f"""WITH {_ENTRIES}, {_REQUESTS}, {_pairs('cosine', False)}
+SELECT request_id, entry_seq, round(score, 6) AS score, place::INT AS place FROM pairs WHERE place <= 3""",
     "top_k_matches": f"""WITH {_ENTRIES}, {_REQUESTS}, {_pairs('cosine', False)}
 SELECT request_id, entry_seq, round(score, 6) AS score, place::INT AS place FROM pairs WHERE place <= 3""",
     "lookup_result": f"""WITH {_ENTRIES}, {_REQUESTS}, {_best('cosine', True)}

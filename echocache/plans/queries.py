@@ -15,6 +15,7 @@ from echocache.functions import vectors as V
 from echocache.operators import answers as A
 from echocache.operators import entries as E
 from echocache.operators import evict as EV
+from echocache.operators import knn as K
 from echocache.operators import lookup as L
 from echocache.operators import ordered as O
 from echocache.operators import replay as R
@@ -259,6 +260,16 @@ def nearest_lsh(spark, folder):
     return _nearest(spark, folder, index="lsh")
 
 
+@query
+def top_k_by_cells(spark, folder):
+    """The three closest entries without a threshold, from the cells that counts allow."""
+    found = K.nearest_k(
+        TB.vector_requests(spark, folder, by_label=False), TB.vector_entries(spark, folder, by_label=False), 3,
+        n_pivots=16, block_rows=256,
+    )
+    return found.select("request_id", "entry_seq", _six("score"), "place")
+
+
 @query
 def top_k_matches(spark, folder):
     return _nearest(spark, folder, threshold=None, k=3)
