@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from echocache.functions import text
 from echocache.operators.rank import rank_within
+from echocache.scratch import materialize
+
+#: Misses of one prompt that are given their answer together, and the most prompts that are cut into parts.
+HOT_ROWS, MAX_HOT = 100_000, 1_024
 
 
 def recorded(turns: DataFrame) -> DataFrame:
@@ -58,3 +62,30 @@ def generate(
 
     # A model may answer differently when asked again, so Spark must not ask twice.
     return misses.withColumn("response", run.asNondeterministic()("prompt"))
+
+
+def coalesced(
+    misses: DataFrame, answer: Callable[[DataFrame], DataFrame], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``answer`` asked once for each prompt, by its earliest miss, and given to all misses of that prompt.
+
+    Prompts are clean already. Counts and earliest misses are combined before the shuffle. A prompt with more than
+    ``hot_rows`` misses is joined in parts, so that it stays spread over tasks; as a part has at least
+    a share of 1 / ``MAX_HOT`` of all misses, the table of such prompts is small enough to be sent to every task.
+    """
+    first = F.min(F.struct("collection", "seq", "request_id")).alias("first")
+    prompts = materialize(misses.groupBy("prompt").agg(first, F.count(F.lit(1)).alias("n")), "prompts")
+    total = prompts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    part_rows = max(hot_rows, -(-total // MAX_HOT))
+    key = ["prompt", "collection", "seq", "request_id"]
+    asked = misses.join(prompts.select("prompt", "first.*"), key, "left_semi").select(*misses.columns)
+    answers = materialize(answer(asked), "answers").select("prompt", "response").dropDuplicates(["prompt"])
+    hot = F.broadcast(
+        prompts.where(F.col("n") > part_rows).select("prompt", F.ceil(F.col("n") / part_rows).cast("int").alias("_parts"))
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    left = misses.drop("response").join(hot, "prompt", "left").withColumn("_part", F.pmod(F.xxhash64("request_id"), parts).cast("int"))
+    right = answers.join(hot, "prompt", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right.drop("_parts"), ["prompt", "_part"], "left").select(
+        *[c for c in misses.columns if c != "response"], "response"
+    )

@@ -14,9 +14,16 @@ FAILED = "Setup check failed."
 DETAIL_INDENT = "       "
 
 
-def hit_report(results: DataFrame) -> DataFrame:
-    """Requests, hits, generated answers, inserts and hit rate per collection."""
+def hit_report(results: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Requests, hits, generated answers, inserts and hit rate per collection.
+
+    With ``rejected``, misses whose answer could not be stored count as requests and as misses too.
+    """
     missed = ~F.col("cache_hit")
+    if rejected is not None:
+        failed = rejected.where(F.col("reject_reason") == S.RESPONSE_BLANK)
+        failed = failed.select("collection", F.lit(False).alias("cache_hit"), F.lit(None).cast("string").alias("response"))
+        results = results.select("collection", "cache_hit", "response").unionByName(failed)
     return results.groupBy("collection").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if("cache_hit").alias("hits"),

@@ -159,8 +159,10 @@ def from_table(answers: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda missed: A.attach(missed, answers)
 
 
-def from_generator(generator) -> Callable[[DataFrame], DataFrame]:
-    return lambda missed: A.generate(missed, generator)
+def from_generator(generator, coalesce: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """Answers of a generator of batches; with ``coalesce`` equal misses of one call are generated once."""
+    ask = lambda missed: A.generate(missed, generator)
+    return (lambda missed: A.coalesced(missed, ask)) if coalesce else ask
 
 
 def fixed_answer(text: str = S.BASELINE_GENERATED_RESPONSE) -> Callable[[DataFrame], DataFrame]:

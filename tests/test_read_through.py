@@ -89,6 +89,43 @@ def test_the_generator_is_called_once_per_miss(spark):
     assert calls.value == 5
 
 
+def test_equal_misses_are_generated_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def generator(batches):
+        for prompts in batches:
+            calls.add(len(prompts))
+            yield prompts.str.replace("fails", "")
+
+    # A third of all rows has one prompt; one prompt has no answer.
+    prompt = lambda i: "hot" if i % 3 == 0 else "fails" if i % 3 == 1 and i < 30 else f"p{i % 7}"
+    asked = requests(spark, [(i, [1.0, float(i)], prompt(i)) for i in range(90)])
+    out = RT.read_through(asked, entries(spark, []), RT.from_generator(generator), threshold=1.0)
+    distinct = {prompt(i) for i in range(90)}
+    assert out.results.count() == 80 and {r.response for r in out.results.collect()} == distinct - {"fails"}
+    assert calls.value == len(distinct)
+    report = RP.hit_report(out.results, out.rejected).first()
+    assert (report.requests, report.misses, report.inserts, report.hits) == (90, 90, 80, 0)
+    calls.value = 0
+    every = RT.read_through(asked, entries(spark, []), RT.from_generator(generator, coalesce=False), threshold=1.0)
+    assert every.results.count() == 80 and calls.value == 90
+
+
+def test_a_hot_prompt_is_answered_in_parts(spark):
+    asked = requests(spark, [(i, [1.0, float(i)], "hot" if i % 3 else f"p{i}") for i in range(60)])
+    seen = []
+
+    def answer(missed):
+        seen.extend(r.seq for r in missed.collect())
+        return missed.withColumn("response", F.concat(F.lit("re "), "prompt"))
+
+    got = A.coalesced(asked, answer, hot_rows=4)
+    assert sorted(seen) == sorted([1] + [i for i in range(60) if i % 3 == 0])
+    assert collected(got, "seq", "response") == [(i, "re hot" if i % 3 else f"re p{i}") for i in range(60)]
+    assert got.columns == [*asked.columns, "response"]
+    assert A.coalesced(asked.where("false"), answer).count() == 0
+
+
 def test_parameters_are_checked(spark):
     with pytest.raises(ValueError, match="similarity_threshold"):
         RT.read_through(None, None, None, threshold=-0.1)
