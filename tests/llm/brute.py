@@ -88,7 +88,7 @@ def line_bits(plain: str) -> int:
 
 
 def two_blocks(a: int, b: int) -> bool:
-    return sum(not ((a ^ b) >> at) & 0xFFF for at in range(0, 60, 12)) >= 2
+    return sum(not ((a ^ b) >> at) & 0x7FFF for at in range(0, 60, 15)) >= 2
 
 
 def holes(x: str) -> set[str]:
