@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns of
 ``documents``; the last returns a row of digests for each document it is given. A stage works on
 all documents that the one before has kept, as they were written down.
+
+Defined results: null and empty texts have no words, so quality_rules drops them; given to a later stage they stay as
+they are, a null one has zero tokens, and near_duplicates keeps one of them all. Nulls in other columns go through
+(unknown language: base rules only; unknown source: a domain of its own). Rows with equal number and text are one document for
+line_dedup and near_duplicates and lose the same lines; of a group the smallest number stays, null last. Texts of any
+length are processed whole. An empty table stays empty in every stage.
 """
 
 from __future__ import annotations

@@ -78,3 +78,33 @@ def test_token_stage(stages):
         ids = library.encode_ordinary(r["text"])
         want.append((r["doc_id"], len(ids), brute.digest(" ".join(map(str, ids))), brute.digest(r["text"])))
     assert sorted(tuple(r.values()) for r in out) == sorted(want)
+
+
+PROSE = "the house of the old man and the sea is what it was for all that we know to be a story " * 4
+ODD = [
+    (1, PROSE, "en", "src1", 5), (2, None, "en", "src2", None), (3, "", None, None, 0), (4, " \n\t", "xx", "", 1),
+    (None, PROSE + "and more", "en", None, 9), (5, "one line of a text\nanother line of it\none line of a text", "de", "src12", 9),
+    (5, "one line of a text\nanother line of it\none line of a text", "de", "src12", 9), (6, "long " * 60_000, "en", "src3", 9),
+    (7, "ünïcödé 🙂 日本\none line of a test", "fr", "srcX", 9),
+]
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark):
+    odd = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("false"), FOLDER).count() == 0
+        out = materialize(stage(spark, odd, FOLDER), name)
+        rows = out.collect()
+        ids = [r.doc_id for r in rows]
+        assert name == "token_ids" or out.columns == odd.columns
+        if name == "quality_rules":
+            assert not {2, 3, 4} & set(ids)
+        if name == "line_dedup":
+            text = {r.doc_id: r.text for r in rows}
+            assert len(ids) == len(ODD) and text[2] is None and text[3] == "" and text[4] == " \n\t"
+            assert text[5] == "one line of a text\nanother line of it" and text[7] == "ünïcödé 🙂 日本"
+        if name == "near_duplicates":
+            assert len(ids) == len(set(ids)) and len({2, 3, 4} & set(ids)) == 1 and {1, 5, 6} <= set(ids)
+        if name == "token_ids":
+            assert sorted(map(repr, ids)) == sorted(repr(r[0]) for r in ODD)
+            assert [r.n_tokens for r in rows if r.doc_id in (2, 3)] == [0, 0]
