@@ -101,12 +101,11 @@ def _judged(df: DataFrame, text: str, lang: str) -> DataFrame:
         ).otherwise(F.array().cast("array<bigint>")),
     )
     low = (1 << _PLACE_BITS) - 1
-    out = out.withColumn(
-        "_q_packed",
-        F.sort_array(
-            F.transform("_q_hashes", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-        ),
-    )
+    # Most texts have no window twice, and are done here.
+    out = out.withColumn("_q_twice", F.size(F.array_distinct("_q_hashes")) < F.size("_q_hashes"))
+    packed = F.transform("_q_hashes", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    none = F.array().cast("array<bigint>")
+    out = out.withColumn("_q_packed", F.when(F.col("_q_twice"), F.sort_array(packed)).otherwise(none))
     packed, hashes = F.col("_q_packed"), F.col("_q_hashes")
     high = lambda x: F.shiftright(x, _PLACE_BITS)
     out = out.withColumn(
