@@ -1,6 +1,9 @@
 """The inverted index for sparse vectors: the rows of comparing all, from few pairs."""
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +71,34 @@ def test_candidates_of_the_dialogue_are_few(spark):
     assert 0 < pairs < 0.1 * left.count() * right.count()
     got = found_by(sparse.nearest_sparse(asked, held, Q.CHAT_THRESHOLD))
     assert got == found_by(L.nearest(asked, held, Q.CHAT_THRESHOLD, index="none")) and len(got) > 50
+
+
+@pytest.mark.parametrize("group, few", [(4, 1.0), (4, 0.0), (16, 0.05)])
+def test_groups_of_dimensions_and_single_pairs_give_all(spark, monkeypatch, group, few):
+    monkeypatch.setattr(sparse, "GROUP", group)  # many groups, all, no or some pairs scored one by one
+    monkeypatch.setattr(sparse, "FEW", few)
+    held, asked = counts(5, 90, 50, 9), counts(6, 50, 50, 9) + counts(5, 20, 50, 9)
+    lists = lambda rows: pa.chunked_array([pa.array(
+        [[{"dim": i, "w": x / np.linalg.norm(r)} for i, x in enumerate(r) if x] for r in rows],
+        pa.list_(pa.struct([("dim", pa.int32()), ("w", pa.float64())])),
+    )])
+    right = sparse._Lists(lists(held))
+    left = sparse._Lists(lists(asked), right.dims, right.place)
+    unit = lambda rows: np.array([np.array(r) / np.linalg.norm(r) for r in rows])
+    cosine = unit(asked) @ unit(held).T
+    for threshold in (0.2, 0.7):
+        got = {(int(i), int(j)): x for found in sparse._reaching(left, right, threshold, lambda lo, hi: None) for i, j, x in zip(*found)}
+        assert set(got) == set(zip(*np.nonzero(cosine >= threshold - 1e-9)))
+        assert max(abs(x - cosine[at]) for at, x in got.items()) < 1e-12
+
+
+def test_lists_are_shuffled_and_not_pairs(spark):
+    """Rows that share all dimensions: a task hands back one row for each request, and no shuffle has a dimension as its key."""
+    rng = np.random.default_rng(8)
+    held, asked = ([(i, [float(x) for x in rng.integers(1, 9, 12)]) for i in range(n)] for n in (300, 200))
+    left, right = sparse.scaled_rows(requests(spark, asked), entries(spark, held))
+    assert sparse._compared(left, right, 0.5, False, True).count() <= 200
+    found = sparse.nearest_sparse(requests(spark, asked), entries(spark, held), 0.5)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cogroup" in text.replace("CoGroup", "Cogroup") and not re.search(r"hashpartitioning\([^)]*(dim|entry_seq)#", text)
+    assert found.count() == 200
