@@ -5,10 +5,16 @@ A cell of any size is cut into request stripes and entry stripes of at most abou
 rows; every (request stripe, entry stripe) pair is one bounded Python task input, multiplied as
 matrices. A block pair emits only the k best entries per request, never its pairs, and the
 block results are merged by a map-side combined aggregation.
+
+With cells from an index a request visits many, so ``best_in_parts`` puts neighbouring cells into few parts
+of bounded size: a request is sent once to each part that has one of its cells, whatever the number of these,
+and compared there with the entries of its own cells only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,10 +24,15 @@ from echocache import schema as S
 from echocache.scratch import materialize, spread
 
 BLOCK_ROWS = 8192
+#: Blocks that a side is cut into while these fit, and the most numbers that the vectors of a block have.
+PARTS, VALUES = 8, 1 << 23
 # Cosines are compared after rounding to this many decimals, distances to as many significant digits.
 SCORE_DECIMALS = 12
 _SLICE_CELLS = 4_000_000
 
+# Matches of a task that are held before only the best of each request are kept.
+_HELD_MATCHES = 2_000_000
+
 _MATCH = "collection string, request_id string, entry_seq long, closeness double"
 
 
@@ -165,11 +176,17 @@ def _stripe(rows_in_cell: str, block_rows: int) -> Column:
     return F.ceil(F.col(rows_in_cell) / block_rows).cast("int")
 
 
-def row_counts(requests: DataFrame, entries: DataFrame) -> tuple[int, int]:
-    n = F.count(F.lit(1)).alias("n")
-    both = requests.agg(n).withColumn("side", F.lit(0)).union(entries.agg(n).withColumn("side", F.lit(1)))
-    counted = {row.side: row.n for row in both.collect()}
-    return counted[0], counted[1]
+def row_counts(requests: DataFrame, entries: DataFrame) -> tuple[int, int, int]:
+    """Rows of both sides, and numbers in the longest vector."""
+    n, width = F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")
+    both = requests.agg(n, width).withColumn("side", F.lit(0)).union(entries.agg(n, width).withColumn("side", F.lit(1)))
+    counted = {row.side: row for row in both.collect()}
+    return counted[0].n, counted[1].n, max(row.width or 0 for row in counted.values())
+
+
+def block_size(rows: int, width: int, least: int) -> int:
+    """Rows of a block: ``least``, or so many that ``PARTS`` blocks do, as far as their vectors may be that large."""
+    return max(least, min(-(-rows // PARTS), VALUES // max(1, width)))
 
 
 def best_in_cells(
@@ -224,6 +241,10 @@ def best_in_cells(
         .cogroup(spread(right, block).groupBy(*block))
         .applyInArrow(_block_kernel(metric, k, floor, before), _MATCH)
     )
+    return _merged(local, k, repeats)
+
+
+def _merged(local: DataFrame, k: int, repeats: bool = False) -> DataFrame:
     request = ["collection", "request_id"]
     if k == 1:
         best = F.min(F.struct((-F.col("closeness")).alias("far"), F.col("entry_seq")))
@@ -237,3 +258,154 @@ def best_in_cells(
         local.withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
     )
+
+
+class Layout:
+    """Which part the entries of a cell are in: in order of their numbers, as many cells in a part as ``rows`` allow.
+
+    A cell with more entries has parts of its own, into which these are dealt.
+    """
+
+    def __init__(self, counts: dict[int, int], rows: int):
+        self.spans: dict[int, tuple[int, int]] = {}
+        next_part, room = 0, 0
+        for cell in sorted(counts):
+            n = counts[cell]
+            parts = -(-n // rows)
+            if n > room:
+                self.spans[cell] = next_part, parts
+                next_part, room = next_part + parts, rows - n if parts == 1 else 0
+            else:
+                self.spans[cell] = next_part - 1, 1
+                room -= n
+        self.n_parts = next_part
+
+    def entries(self, rows: DataFrame) -> DataFrame:
+        """Add ``part`` to rows with ``cell`` and ``seq``."""
+        spans = [(c, *span) for c, span in self.spans.items()]
+        known = rows.sparkSession.createDataFrame(spans, "cell int, _first int, _parts int")
+        part = F.col("_first") + F.pmod(F.xxhash64("seq"), F.col("_parts")).cast("int")
+        return rows.join(F.broadcast(known), "cell").withColumn("part", part).drop("_first", "_parts")
+
+    def requests(self, rows: DataFrame) -> DataFrame:
+        """A row for each ``part`` that has one of the ``cells`` of a request, with those of its cells that are there."""
+        cell = np.array(sorted(self.spans), np.int64)
+        first, parts = (np.array([self.spans[int(c)][i] for c in cell], np.int64) for i in (0, 1))
+
+        def nest(lists: pa.Array) -> pa.Array:
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            wanted = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(cell, wanted), max(0, len(cell) - 1))
+            known = cell[at] == wanted if len(cell) else np.zeros(len(wanted), bool)
+            row, at = row[known], at[known]
+            times = parts[at] if len(cell) else at
+            each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, at = np.repeat(row, times), np.repeat(at, times)
+            part = (first[at] if len(cell) else at) + each
+            order = np.lexsort((at, part, row))
+            row, at, part = row[order], at[order], part[order]
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(row) else np.empty(0, int)
+            inner = pa.ListArray.from_arrays(
+                pa.array(np.r_[new, len(row)], pa.int32()), pa.array(cell[at] if len(cell) else at, pa.int32())
+            )
+            visits = pa.StructArray.from_arrays([pa.array(part[new], pa.int32()), inner], ["part", "cells"])
+            ends = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(lists)))]
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), visits)
+
+        # Spark reads the hints as types, not as text.
+        nest.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+        visits = F.arrow_udf(nest, "array<struct<part: int, cells: array<int>>>")("cells")
+        others = [c for c in rows.columns if c != "cells"]
+        rows = rows.select(*others, F.explode(visits).alias("_visit"))
+        return rows.select(*others, "_visit.part", "_visit.cells")
+
+
+def _best_rows(found: list[tuple], entry_seq: np.ndarray, k: int) -> tuple:
+    rows, cols, near = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((entry_seq[cols], -near, rows))
+    rows, cols, near = rows[order], cols[order], near[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], near[keep]
+
+
+def _compared_cells(left: pa.Table, right: pa.Table, metric: str, k: int, floor: float, before: bool) -> Iterator[tuple]:
+    """Matches of each cell of ``right``, which lies sorted by cell and number, with the requests that visit it."""
+    requests, entries = matrix(left["vector"]), matrix(right["vector"])
+    if requests.shape[1] != entries.shape[1]:
+        raise ValueError(S.VECTOR_DIMENSION)
+    requests, entries = points(requests, metric), points(entries, metric)
+    request_seq, entry_seq = left["seq"].to_numpy(), right["seq"].to_numpy()
+    lists = pa.concat_arrays(left["cells"].chunks)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    visited = lists.flatten().to_numpy()
+    order = np.argsort(visited, kind="stable")
+    row, visited = row[order], visited[order]
+    ids, starts = np.unique(right["cell"].to_numpy(), return_index=True)
+    for cell, lo, hi in zip(ids, starts, np.r_[starts[1:], len(entries)]):
+        mine = row[slice(*np.searchsorted(visited, (cell, cell + 1)))]
+        if len(mine):
+            seqs = (request_seq[mine], entry_seq[lo:hi]) if before else (None, None)
+            i, j, near = best_pairs(requests[mine], entries[lo:hi], metric, k, floor, *seqs)
+            yield mine[i], j + lo, near
+
+
+def _part_kernel(metric: str, k: int, floor: float, before: bool):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found, held = [(np.empty(0, int), np.empty(0, int), np.empty(0))], 0
+        if left.num_rows and right.num_rows:
+            right = right.sort_by([("cell", "ascending"), ("seq", "ascending")])
+            entry_seq = right["seq"].to_numpy()
+            for one in _compared_cells(left, right, metric, k, floor, before):
+                found.append(one)
+                held += len(one[0])
+                if held > max(_HELD_MATCHES, 2 * k * left.num_rows):
+                    found = [_best_rows(found, entry_seq, k)]
+                    held = len(found[0][0])
+            found = [_best_rows(found, entry_seq, k)]
+        rows, cols, near = found[0]
+        ids = pa.concat_arrays(left["request_id"].chunks) if len(rows) else pa.array([], pa.string())
+        return pa.table(
+            {"collection": pa.array([key[0].as_py()] * len(rows), pa.string()),
+             "request_id": ids.take(pa.array(rows)).cast(pa.string()),
+             "entry_seq": pa.array(entry_seq[cols] if len(rows) else [], pa.int64()),
+             "closeness": pa.array(near, pa.float64())}
+        )
+
+    return run
+
+
+def best_in_parts(
+    requests: DataFrame,
+    entries: DataFrame,
+    metric: str,
+    k: int = 1,
+    floor: float = -np.inf,
+    before: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The rows of ``best_in_cells`` for requests with a list ``cells`` of different cells.
+
+    Both sides are read more than once, so they are written tables. ``block_rows`` are the rows of a block
+    while ``PARTS`` blocks of that size hold all; larger tables have larger blocks, up to ``VALUES`` numbers. The driver gets
+    one count for each cell.
+    """
+    n, width = F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")
+    counts = entries.groupBy("collection", "cell").agg(n, width).groupBy("cell").agg(F.max("n").alias("n"), F.max("width").alias("width"))
+    counts = {row.cell: (row.n, row.width) for row in counts.collect()}
+    width = max((w for _, w in counts.values()), default=1) or 1
+    # A part has so many rows of one collection at most.
+    layout = Layout({c: m for c, (m, _) in counts.items()}, block_size(sum(m for m, _ in counts.values()), width, block_rows))
+    size = F.greatest(F.lit(block_rows), F.least(F.ceil(F.col("n") / PARTS), F.lit(VALUES // width)))
+    stripes = requests.groupBy("collection").agg(n).select("collection", F.ceil(F.col("n") / size).cast("int").alias("stripes"))
+    stripes = materialize(stripes, "stripes")
+    left = layout.requests(requests.select("collection", "request_id", "seq", "vector", "cells")).join(stripes, "collection")
+    left = left.withColumn("stripe", F.pmod(F.xxhash64("request_id"), F.col("stripes")).cast("int")).drop("stripes")
+    right = layout.entries(entries.select("collection", "seq", "vector", "cell")).join(stripes, "collection")
+    right = right.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))).drop("stripes")
+    block = ["collection", "part", "stripe"]
+    local = (
+        spread(left, block).groupBy(*block)
+        .cogroup(spread(right, block).groupBy(*block))
+        .applyInArrow(_part_kernel(metric, k, floor, before), _MATCH)
+    )
+    return _merged(local, k)

@@ -191,7 +191,13 @@ def worth_it(
     return kept <= WORTH * len(held) * len(asked)
 
 
-def pivot_cells(
+def pivot_cells(*given) -> tuple[DataFrame, DataFrame]:
+    """``pivot_lists`` with a row for each visit."""
+    found, placed = pivot_lists(*given)
+    return each_visit(found), placed
+
+
+def pivot_lists(
     requests: DataFrame,
     entries: DataFrame,
     metric: str,
@@ -219,7 +225,7 @@ def pivot_cells(
     placed = place_in_rings(sized, pivots, small_collection)
     spans = placed.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("error").alias("e"))
     cells = Cells(ranges(spans), pivots.gaps(), reach)
-    return visits(asked, pivots, cells), placed.select("collection", "seq", "vector", "cell")
+    return visited(asked, pivots, cells), placed.select("collection", "seq", "vector", "cell")
 
 
 def place_in_rings(entries: DataFrame, pivots: Pivots, small_collection: int | None = None) -> DataFrame:
@@ -260,8 +266,8 @@ def ranges(spans: DataFrame) -> dict[int, tuple[float, float, float]]:
     }
 
 
-def visits(asked: DataFrame, pivots: Pivots, cells: Cells) -> DataFrame:
-    """A row of collection, request_id, seq, vector and cell for each cell that a request has to look at."""
+def visited(asked: DataFrame, pivots: Pivots, cells: Cells) -> DataFrame:
+    """collection, request_id, seq and vector, and the list ``cells`` that a request has to look at."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +282,12 @@ def visits(asked: DataFrame, pivots: Pivots, cells: Cells) -> DataFrame:
     return asked.mapInArrow(
         visit,
         "collection string, request_id string, seq long, vector array<double>, cells array<int>",
-    ).select("collection", "request_id", "seq", "vector", F.explode("cells").alias("cell"))
+    )
+
+
+def each_visit(found: DataFrame) -> DataFrame:
+    """A row of collection, request_id, seq, vector and cell for each cell that a request has to look at."""
+    return found.select("collection", "request_id", "seq", "vector", F.explode("cells").alias("cell"))
 
 
 def lsh_cells(

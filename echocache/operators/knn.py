@@ -56,7 +56,7 @@ def _bounds(pivots: cells.Pivots, stats: pa.Table, vectors: pa.Array, metric: st
 
 
 def _visits(asked: DataFrame, stats: DataFrame, pivots: cells.Pivots, metric: str, k: int, block_rows: int) -> DataFrame:
-    """A row of collection, request_id, seq, vector and cell for each cell that may hold one of the k closest."""
+    """collection, request_id, seq, vector and the list ``cells`` of those that may hold one of the k closest."""
     n = asked.groupBy("collection").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("stripes"))
     n = materialize(n, "stripes")
     left = asked.join(n, "collection").withColumn("stripe", F.pmod(F.xxhash64("request_id"), F.col("stripes")).cast("int"))
@@ -76,18 +76,23 @@ def _visits(asked: DataFrame, stats: DataFrame, pivots: cells.Pivots, metric: st
         return rows.append_column("cells", pa.array(lists, pa.list_(pa.int32())))
 
     block = ["collection", "stripe"]
-    found = (
+    return (
         spread(left.drop("stripes"), block).groupBy(*block)
         .cogroup(spread(right.drop("stripes"), block).groupBy(*block))
         .applyInArrow(run, f"{_ASKED}, cells array<int>")
     )
-    return found.select("collection", "request_id", "seq", "vector", F.explode("cells").alias("cell"))
 
 
-def cells_and_visits(
+def cells_and_visits(*given) -> tuple[DataFrame, DataFrame]:
+    """``cells_and_lists`` with a row for each visit."""
+    found, placed = cells_and_lists(*given)
+    return cells.each_visit(found), placed
+
+
+def cells_and_lists(
     requests: DataFrame, entries: DataFrame, k: int, metric: str, n_pivots: int | None, block_rows: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Visits of the requests, and the entries with their cells."""
+    """The requests with the cells that they visit, and the entries with their cells."""
     left = requests.select(
         F.col("collection").cast("string").alias("collection"), F.col("request_id").cast("string").alias("request_id"),
         F.col("seq").cast("long").alias("seq"), F.col("vector").cast(S.VECTOR).alias("vector"),
@@ -129,8 +134,8 @@ def nearest_k(
     if k < 1:
         raise ValueError("k must be at least 1")
     S.check_metric(metric)
-    found, held = cells_and_visits(requests, entries, k, metric, n_pivots, block_rows)
-    best = blockjoin.best_in_cells(found, held, metric, k, block_rows=block_rows)
+    found, held = cells_and_lists(requests, entries, k, metric, n_pivots, block_rows)
+    best = blockjoin.best_in_parts(found, held, metric, k, block_rows=block_rows)
     score = blockjoin.closeness_to_score(F.col("closeness"), metric)
     return (best if k > 1 else best.withColumn("place", F.lit(1))).withColumn("score", score).select(
         "collection", "request_id", "entry_seq", "score", F.col("place").cast("int").alias("place")

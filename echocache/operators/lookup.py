@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echocache import schema as S
 from echocache.operators import blockjoin, cells
+from echocache.scratch import materialize
 
 # Pivots are kept on the driver and sent to every task: at most this many vectors.
 MAX_PIVOTS = 1024
@@ -45,6 +46,8 @@ def nearest(
     ``index``: ``none`` compares a whole collection block by block; ``pivots`` first drops cells
     that cannot match (same result); ``lsh`` is approximate; ``auto`` uses pivots when the
     entries fill more than a few blocks and a few rows tried out show that enough pairs go.
+    ``block_rows`` are the rows of a block; unless the index is ``none`` or ``lsh``, larger tables have larger
+    blocks, so that a row is sent to ``blockjoin.PARTS`` of them while their vectors fit a task.
     ``bucket_length`` of LSH is by default three times the distance at the threshold.
     """
     S.check_metric(metric)
@@ -58,7 +61,7 @@ def nearest(
     right = _wanted(entries, "collection", "seq")
     if index == "pivots" and threshold is None:
         raise ValueError("index 'pivots' needs a threshold")
-    request_rows, entry_rows = blockjoin.row_counts(left, right)
+    request_rows, entry_rows, width = blockjoin.row_counts(left, right)
     blocks = math.ceil(entry_rows / block_rows)
     pivots = None
     if index == "pivots" and entry_rows or index == "auto" and threshold is not None and blocks > 4:
@@ -68,21 +71,24 @@ def nearest(
             left, right, pivots, cells.radius(threshold, metric), (request_rows, entry_rows)
         ):
             pivots = None
-    index = index if index == "lsh" else "none" if pivots is None else "pivots"
-    if index == "none" or not entry_rows:
-        left, right = cells.one_cell(left), cells.one_cell(right)
-        fits_block = max(request_rows, entry_rows) <= block_rows
+    floor = blockjoin.closeness_floor(threshold, metric)
+    if pivots is not None:
+        left, right = cells.pivot_lists(left, right, metric, threshold, pivots, block_rows)
+        left = materialize(left, "visits")
+        found = blockjoin.best_in_parts(left, right, metric, k, floor, before, block_rows)
     else:
-        fits_block = False
-        if index == "pivots":
-            left, right = cells.pivot_cells(left, right, metric, threshold, pivots, block_rows)
+        if index == "lsh" and entry_rows:
+            length = bucket_length or 3 * cells.radius(S.DEFAULT_THRESHOLD if threshold is None else threshold, metric) or 1.0
+            left, right = cells.lsh_cells(left, right, metric, length, tables, projections)
+            fits_block = False
         else:
-            width = bucket_length or 3 * cells.radius(S.DEFAULT_THRESHOLD if threshold is None else threshold, metric) or 1.0
-            left, right = cells.lsh_cells(left, right, metric, width, tables, projections)
-    floor = blockjoin.closeness_floor(threshold, metric)
-    found = blockjoin.best_in_cells(
-        left, right, metric, k, floor, before, block_rows, fits_block, repeats=index == "lsh"
-    )
+            if index != "none":
+                block_rows = blockjoin.block_size(max(request_rows, entry_rows), width, block_rows)
+            left, right = cells.one_cell(left), cells.one_cell(right)
+            fits_block = max(request_rows, entry_rows) <= block_rows
+        found = blockjoin.best_in_cells(
+            left, right, metric, k, floor, before, block_rows, fits_block, repeats=index == "lsh"
+        )
     return found.withColumn(
         "score", blockjoin.closeness_to_score(F.col("closeness"), metric)
     ).drop("closeness")

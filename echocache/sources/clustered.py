@@ -230,9 +230,9 @@ class ClusteredStore(CacheStore):
     # Looking up
 
     def visits(self, requests: DataFrame, threshold: float, before: int | None = None) -> tuple[DataFrame, list[int]]:
-        """Which cells each request has to look at, and the list of all of them."""
+        """The requests with ``cells``, the list of those that each has to look at, and the list of all of them."""
         model = self.model()
-        ddl = "collection string, request_id string, seq long, vector array<double>, cell int"
+        ddl = "collection string, request_id string, seq long, vector array<double>, cells array<int>"
         if model is None:
             return self.spark.createDataFrame([], ddl), []
         spans = self._part("spans", _SPANS, model, before)
@@ -251,9 +251,9 @@ class ClusteredStore(CacheStore):
         asked = asked.join(sizes.where("low IS NOT NULL"), "collection").withColumn("vector", F.when(same, F.col("vector")).otherwise(uneven))
         if self.collection is not None:
             asked = asked.where(F.col("collection") == self.collection)
-        found = cells.visits(asked.select("collection", "request_id", "seq", "vector"), model.pivots, known)
+        found = cells.visited(asked.select("collection", "request_id", "seq", "vector"), model.pivots, known)
         found = materialize(found, "visits")
-        return found, sorted(r.cell for r in found.select("cell").distinct().collect())
+        return found, sorted(r.cell for r in found.select(F.explode("cells").alias("cell")).distinct().collect())
 
     def _current(self, some: list[int], before: int | None) -> DataFrame:
         return E.delete(self._held(before, some), self._read("deletes", S.KEY, before))
@@ -273,7 +273,7 @@ class ClusteredStore(CacheStore):
     def _best(self, found: DataFrame, held: DataFrame, threshold: float, earlier: bool, block_rows: int) -> DataFrame:
         held = held.select("collection", "seq", F.col("vector").cast(S.VECTOR).alias("vector"), "cell")
         floor = blockjoin.closeness_floor(threshold, self.metric)
-        best = blockjoin.best_in_cells(found, held, self.metric, 1, floor, earlier, block_rows)
+        best = blockjoin.best_in_parts(found, held, self.metric, 1, floor, earlier, block_rows)
         score: Column = blockjoin.closeness_to_score(F.col("closeness"), self.metric)
         return best.withColumn("score", score).drop("closeness")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echocache import schema as S
-from echocache.operators import knn
+from echocache.operators import blockjoin, knn
 from echocache.operators import lookup as L
 from tests.rows import entries, requests
 
@@ -58,3 +58,21 @@ def test_more_wanted_than_there_is_and_empty_sides(spark):
         knn.nearest_k(requests(spark, [(9, [1.0])]), held, 1).collect()
     with pytest.raises(ValueError, match="k must"):
         knn.nearest_k(asked, held, 0)
+
+
+def test_a_request_is_sent_once_to_each_part(spark):
+    """Neighbouring cells share a part, a cell beyond its size has parts of its own, and each visit is kept."""
+    layout = blockjoin.Layout({-1: 3, 0: 4, 8: 2, 9: 25, 16: 5, 17: 5}, 10)
+    assert layout.spans == {-1: (0, 1), 0: (0, 1), 8: (0, 1), 9: (1, 3), 16: (4, 1), 17: (4, 1)} and layout.n_parts == 5
+    rows = spark.createDataFrame([("r1", [-1, 0, 8, 17]), ("r2", []), ("r3", [9, 16, 17, 99])], "request_id string, cells array<int>")
+    got = sorted((r.request_id, r.part, list(r.cells)) for r in layout.requests(rows).collect())
+    assert got == [("r1", 0, [-1, 0, 8]), ("r1", 4, [17]), ("r3", 1, [9]), ("r3", 2, [9]), ("r3", 3, [9]), ("r3", 4, [16, 17])]
+    held = spark.createDataFrame([(9, i) for i in range(60)] + [(8, 1), (17, 2)], "cell int, seq long")
+    parts = {(r.cell, r.part) for r in layout.entries(held).collect()}
+    assert parts == {(9, 1), (9, 2), (9, 3), (8, 0), (17, 4)}
+
+
+def test_blocks_grow_with_the_table_up_to_their_memory():
+    size = blockjoin.block_size
+    assert size(2_000, 64, 256) == 256 and size(80_000, 64, 256) == 10_000
+    assert size(10**9, 64, 256) == blockjoin.VALUES // 64 and size(10**9, 1 << 30, 256) == 256
