@@ -1,6 +1,7 @@
 """Operators on Spark: brute force, SQL, and rows that are odd in every way."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -346,6 +347,13 @@ def test_line_keys_are_those_of_blocks_holes_and_pieces(spark):
                 assert ha & hb and pa & pb
 
 
+def test_methods_made_for_lines_are_short_enough_to_be_compiled(spark, capsys):
+    df = spark.createDataFrame([(1, "a line of words")], "doc_id long, text string")
+    lines._lines(df, "doc_id", "text").explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000  # longer ones stay bytecode, which the JVM interprets
+
+
 def test_crowded_buckets_go_another_way(spark, monkeypatch):
     rows = [(b, n, n) for b in range(300) for n in range(b, b + (40 if b == 7 else b % 3))]
     members = spark.createDataFrame(rows, "bucket long, node long, of long")
