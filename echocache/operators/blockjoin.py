@@ -6,14 +6,14 @@ rows; every (request stripe, entry stripe) pair is one bounded Python task input
 matrices. A block pair emits only the k best entries per request, never its pairs, and the
 block results are merged by a map-side combined aggregation.
 
-With cells from an index a request visits many, so ``best_in_parts`` puts neighbouring cells into few parts
-of bounded size: a request is sent once to each part that has one of its cells, whatever the number of these,
-and compared there with the entries of its own cells only.
+With cells from an index a request looks at many, so ``best_in_parts`` puts neighbouring cells into few parts
+of bounded size: a request is sent once to each part that has one of its cells, whatever the number of these. Which cells
+of the part it looks at is worked out there anew: lists of cells would grow with the rows times the cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ PARTS, VALUES = 8, 1 << 23
 SCORE_DECIMALS = 12
 _SLICE_CELLS = 4_000_000
 
+# Numbers of the table of requests by cells that a task holds, and the share of pairs looked at from which all are compared.
+LOOKED_AT, MOST = 1 << 24, 0.5
+
 # Matches of a task that are held before only the best of each request are kept.
 _HELD_MATCHES = 2_000_000
 
@@ -280,6 +283,27 @@ class Layout:
                 room -= n
         self.n_parts = next_part
 
+    def places(self, ids: np.ndarray, whole: bool) -> Callable:
+        """A function from the (row, cell) matrix of cells ``ids`` that requests look at to rows and parts; ``whole``: and all at cell -1."""
+        cell = sorted(self.spans)
+        known = np.searchsorted(ids, [c for c in cell if c >= 0])
+        # The parts of neighbouring cells are in order, so those that have a part are neighbours too.
+        firsts = {}
+        for column, c in enumerate(cell):
+            for part in range(self.spans[c][0], sum(self.spans[c])):
+                firsts.setdefault(part, column)
+        first, always = [firsts[part] for part in sorted(firsts)], -1 in self.spans
+
+        def run(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = keep[:, known]
+            if always:
+                keep = np.column_stack([np.full(len(keep), whole), keep])
+            if not first or not len(keep):
+                return np.empty(0, int), np.empty(0, int)
+            return np.nonzero(np.logical_or.reduceat(keep, first, axis=1))
+
+        return run
+
     def entries(self, rows: DataFrame) -> DataFrame:
         """Add ``part`` to rows with ``cell`` and ``seq``."""
         spans = [(c, *span) for c, span in self.spans.items()]
@@ -288,7 +312,7 @@ class Layout:
         return rows.join(F.broadcast(known), "cell").withColumn("part", part).drop("_first", "_parts")
 
     def requests(self, rows: DataFrame) -> DataFrame:
-        """A row for each ``part`` that has one of the ``cells`` of a request, with those of its cells that are there."""
+        """For requests that come with lists: a row for each ``part`` that has one of the ``cells`` of a request, with those of its cells that are there."""
         cell = np.array(sorted(self.spans), np.int64)
         first, parts = (np.array([self.spans[int(c)][i] for c in cell], np.int64) for i in (0, 1))
 
@@ -328,34 +352,48 @@ def _best_rows(found: list[tuple], entry_seq: np.ndarray, k: int) -> tuple:
     return rows[keep], cols[keep], near[keep]
 
 
-def _compared_cells(left: pa.Table, right: pa.Table, metric: str, k: int, floor: float, before: bool) -> Iterator[tuple]:
-    """Matches of each cell of ``right``, which lies sorted by cell and number, with the requests that visit it."""
+def _compared_cells(left: pa.Table, right: pa.Table, index, metric: str, k: int, floor: float, before: bool) -> Iterator[tuple]:
+    """Matches of the entries, which lie sorted by cell and number, with the requests that look at their cells.
+
+    Requests are taken in slices, so that the table of requests by cells is bounded. Where most pairs are looked at, all are compared at
+    once: a pair more changes nothing, and many small products take longer.
+    """
     requests, entries = matrix(left["vector"]), matrix(right["vector"])
     if requests.shape[1] != entries.shape[1]:
         raise ValueError(S.VECTOR_DIMENSION)
     requests, entries = points(requests, metric), points(entries, metric)
     request_seq, entry_seq = left["seq"].to_numpy(), right["seq"].to_numpy()
-    lists = pa.concat_arrays(left["cells"].chunks)
-    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    visited = lists.flatten().to_numpy()
-    order = np.argsort(visited, kind="stable")
-    row, visited = row[order], visited[order]
-    ids, starts = np.unique(right["cell"].to_numpy(), return_index=True)
-    for cell, lo, hi in zip(ids, starts, np.r_[starts[1:], len(entries)]):
-        mine = row[slice(*np.searchsorted(visited, (cell, cell + 1)))]
-        if len(mine):
-            seqs = (request_seq[mine], entry_seq[lo:hi]) if before else (None, None)
-            i, j, near = best_pairs(requests[mine], entries[lo:hi], metric, k, floor, *seqs)
-            yield mine[i], j + lo, near
-
-
-def _part_kernel(metric: str, k: int, floor: float, before: bool):
+    vectors, reach, cell = pa.concat_arrays(left["vector"].chunks), left["reach"].to_numpy(), right["cell"].to_numpy()
+    known, starts = index.of(cell, right["gap"].to_numpy(), right["error"].to_numpy())
+    sizes = np.diff(starts)
+    in_order = np.argsort(entry_seq, kind="stable")
+    step = max(1, LOOKED_AT // len(sizes))
+    for lo in range(0, len(requests), step):
+        some = slice(lo, lo + step)
+        # A cell that is looked at by all has the first column, if there is one.
+        keep = np.ones((len(requests[some]), len(sizes)), bool)
+        for rows, kept in index.looked_at(vectors.slice(lo, step), reach[some], known):
+            keep[rows, len(sizes) - kept.shape[1] :] = kept
+        if (keep * sizes).sum() > MOST * len(keep) * len(entries):
+            seqs = (request_seq[some], entry_seq[in_order]) if before else (None, None)
+            i, j, near = best_pairs(requests[some], entries[in_order], metric, k, floor, *seqs)
+            yield i + lo, in_order[j], near
+            continue
+        for column, (first, end) in enumerate(zip(starts, starts[1:])):
+            mine = np.flatnonzero(keep[:, column]) + lo
+            if len(mine):
+                seqs = (request_seq[mine], entry_seq[first:end]) if before else (None, None)
+                i, j, near = best_pairs(requests[mine], entries[first:end], metric, k, floor, *seqs)
+                yield mine[i], j + first, near
+
+
+def _part_kernel(index, metric: str, k: int, floor: float, before: bool):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found, held = [(np.empty(0, int), np.empty(0, int), np.empty(0))], 0
         if left.num_rows and right.num_rows:
             right = right.sort_by([("cell", "ascending"), ("seq", "ascending")])
             entry_seq = right["seq"].to_numpy()
-            for one in _compared_cells(left, right, metric, k, floor, before):
+            for one in _compared_cells(left, right, index, metric, k, floor, before):
                 found.append(one)
                 held += len(one[0])
                 if held > max(_HELD_MATCHES, 2 * k * left.num_rows):
@@ -377,18 +415,21 @@ def _part_kernel(metric: str, k: int, floor: float, before: bool):
 def best_in_parts(
     requests: DataFrame,
     entries: DataFrame,
+    index,
     metric: str,
     k: int = 1,
     floor: float = -np.inf,
     before: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The rows of ``best_in_cells`` for requests with a list ``cells`` of different cells.
+    """The rows of ``best_in_cells`` for requests with a ``reach`` and entries that lie in the cells of an ``index`` (see ``cells``).
 
-    Both sides are read more than once, so they are written tables. ``block_rows`` are the rows of a block
+    ``requests``: collection, request_id, seq, vector, reach. ``entries``: collection, seq, vector, cell, gap, error. Both sides are read more than once, so they are written tables. ``block_rows`` are the rows of a block
     while ``PARTS`` blocks of that size hold all; larger tables have larger blocks, up to ``VALUES`` numbers. The driver gets
     one count for each cell.
     """
+    from echocache.operators import cells  # which needs this module
+
     n, width = F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")
     counts = entries.groupBy("collection", "cell").agg(n, width).groupBy("cell").agg(F.max("n").alias("n"), F.max("width").alias("width"))
     counts = {row.cell: (row.n, row.width) for row in counts.collect()}
@@ -398,14 +439,14 @@ def best_in_parts(
     size = F.greatest(F.lit(block_rows), F.least(F.ceil(F.col("n") / PARTS), F.lit(VALUES // width)))
     stripes = requests.groupBy("collection").agg(n).select("collection", F.ceil(F.col("n") / size).cast("int").alias("stripes"))
     stripes = materialize(stripes, "stripes")
-    left = layout.requests(requests.select("collection", "request_id", "seq", "vector", "cells")).join(stripes, "collection")
+    left = cells.with_numbers(requests, index, layout.places(index.cells.ids, index.cells.whole), "part").join(stripes, "collection")
     left = left.withColumn("stripe", F.pmod(F.xxhash64("request_id"), F.col("stripes")).cast("int")).drop("stripes")
-    right = layout.entries(entries.select("collection", "seq", "vector", "cell")).join(stripes, "collection")
+    right = layout.entries(entries.select("collection", "seq", "vector", "cell", "gap", "error")).join(stripes, "collection")
     right = right.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1))).drop("stripes")
     block = ["collection", "part", "stripe"]
     local = (
         spread(left, block).groupBy(*block)
         .cogroup(spread(right, block).groupBy(*block))
-        .applyInArrow(_part_kernel(metric, k, floor, before), _MATCH)
+        .applyInArrow(_part_kernel(index, metric, k, floor, before), _MATCH)
     )
     return _merged(local, k)

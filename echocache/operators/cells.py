@@ -8,7 +8,7 @@ share a random-projection bucket, so it may lose matches; callers ask for it by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,15 @@ from echocache.scratch import materialize
 _ERROR = 1e-12
 # The cell of collections that are kept whole.
 WHOLE = -1
+# A request as it looks for cells: entries within ``reach`` are wanted.
+ASKED = ["collection", "request_id", "seq", "vector", "reach"]
+ASKED_DDL = "collection string, request_id string, seq long, vector array<double>, reach double"
 # Parts by distance from its pivot that a pivot's entries are cut into.
 RINGS = 8
 # Rows tried out before an index is built, and the share of pairs that must go for it to pay.
 TRIED, WORTH = 256, 0.5
-# Rows measured against all pivots at a time.
-_SLICE = 1024
+# Rows measured against all pivots at a time, and numbers of a table of rows by cells that is worked out at a time.
+_SLICE, NUMBERS = 1024, 1 << 20
 
 
 def one_cell(rows: DataFrame) -> DataFrame:
@@ -130,6 +133,12 @@ class Cells:
 
         Rows may have a ``reach`` of their own.
         """
+        step = max(1, NUMBERS // max(1, len(self.ids)))
+        if len(squared) > step:
+            parts = (slice(lo, lo + step) for lo in range(0, len(squared), step))
+            return np.concatenate([
+                self.visited(number, squared[x], error[x], None if reach is None else reach[x]) for x in parts
+            ])
         place = np.full(len(self.between), -1)
         place[number] = np.arange(len(number))
         at = place[self.pivot]
@@ -191,21 +200,82 @@ def worth_it(
     return kept <= WORTH * len(held) * len(asked)
 
 
+class Index:
+    """Pivots and what is known of their cells: it tells which cells a request has to look at.
+
+    Requests carry their ``reach`` and no lists of cells, which would grow with the table: whoever needs the cells
+    works them out, for a slice of rows at a time.
+    """
+
+    def __init__(self, pivots: Pivots, known: dict[int, tuple[float, float, float]]):
+        self.pivots, self.between = pivots, pivots.gaps()
+        self.cells = Cells(known, self.between, 0.0)
+
+    def of(self, cell: np.ndarray, gap: np.ndarray, error: np.ndarray) -> tuple[Cells, np.ndarray]:
+        """The cells of some entries, which lie sorted by cell, and where those of each begin and the last end."""
+        ids, starts = np.unique(cell, return_index=True)
+        least, most, wrong = (f.reduceat(x, starts) for f, x in ((np.minimum, gap), (np.maximum, gap), (np.maximum, error)))
+        known = {int(c): span(*x) for c, *x in zip(ids, least, most, wrong)}
+        return Cells(known, self.between, 0.0), np.r_[starts, len(cell)]
+
+    def looked_at(self, vectors: pa.Array, reach: np.ndarray, known: Cells | None = None) -> Iterator[tuple]:
+        """Slices of rows, and the (row, cell) matrix of the cells that they look at."""
+        known = known or self.cells
+        for rows, number, squared, error in self.pivots.distances(vectors):
+            yield rows, known.visited(number, squared, error, reach[rows])
+
+
+def _lists(batches: Iterator[pa.RecordBatch], index: Index, places: Callable) -> Iterator[pa.RecordBatch]:
+    """Batches with a last column of lists: ``places`` of the (row, cell) matrix are rows and numbers, in the order of rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(lo, _SLICE)
+            keep = np.zeros((part.num_rows, len(index.cells.ids)), bool)
+            for rows, kept in index.looked_at(part["vector"], part["reach"].to_numpy()):
+                keep[rows] = kept
+            rows, numbers = places(keep)
+            ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=part.num_rows))]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "_numbers"])
+
+
+def with_numbers(asked: DataFrame, index: Index, places: Callable, name: str) -> DataFrame:
+    """``asked`` with a row for each number that ``places`` gives it; see ``_lists``."""
+    found = asked.select(*ASKED).mapInArrow(lambda batches: _lists(batches, index, places), f"{ASKED_DDL}, _numbers array<int>")
+    return found.select(*ASKED, F.explode("_numbers").alias(name))
+
+
+def any_looks_at(asked: DataFrame, index: Index) -> list[int]:
+    """The cells that some request has to look at; a task sends each of them once."""
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(len(index.cells.ids), bool), 0
+        for batch in batches:
+            rows += batch.num_rows
+            if not seen.all():
+                for _, kept in index.looked_at(batch["vector"], batch["reach"].to_numpy()):
+                    seen |= kept.any(axis=0)
+        found = [WHOLE] * (index.cells.whole and rows > 0) + index.cells.ids[seen].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["cell"])
+
+    return sorted(r.cell for r in asked.select("vector", "reach").mapInArrow(union, "cell int").distinct().collect())
+
+
 def pivot_cells(*given) -> tuple[DataFrame, DataFrame]:
-    """``pivot_lists`` with a row for each visit."""
-    found, placed = pivot_lists(*given)
-    return each_visit(found), placed
+    """The requests of ``pivot_index`` with a row for each cell that they look at, and the entries."""
+    asked, placed, index = pivot_index(*given)
+    return each_visit(asked, index), placed
 
 
-def pivot_lists(
+def pivot_index(
     requests: DataFrame,
     entries: DataFrame,
     metric: str,
     threshold: float,
     pivots: Pivots,
     small_collection: int,
-) -> tuple[DataFrame, DataFrame]:
-    """Entries go to a ring around their nearest pivot; requests to every cell that may match.
+) -> tuple[DataFrame, DataFrame, Index]:
+    """Entries go to a ring around their nearest pivot; the index tells which rings a request has to look at.
 
     Collections of at most ``small_collection`` entries stay in one cell. The driver and the tasks
     hold the pivots and a few numbers for each ring, whatever the size of the data.
@@ -220,12 +290,11 @@ def pivot_lists(
     same = (size == F.col("low")) & (size == F.col("high"))
     checked = F.when(same, F.col("vector")).otherwise(uneven).alias("vector")
     sized = entries.join(known, "collection").select("collection", "seq", checked, "n_entries")
-    asked = requests.join(known, "collection").select("collection", "request_id", "seq", checked)
+    asked = requests.join(known, "collection").select("collection", "request_id", "seq", checked, F.lit(reach).alias("reach"))
 
     placed = place_in_rings(sized, pivots, small_collection)
     spans = placed.groupBy("cell").agg(F.min("gap").alias("a"), F.max("gap").alias("b"), F.max("error").alias("e"))
-    cells = Cells(ranges(spans), pivots.gaps(), reach)
-    return visited(asked, pivots, cells), placed.select("collection", "seq", "vector", "cell")
+    return asked, placed, Index(pivots, ranges(spans))
 
 
 def place_in_rings(entries: DataFrame, pivots: Pivots, small_collection: int | None = None) -> DataFrame:
@@ -259,35 +328,26 @@ def ring_edges(placed: DataFrame) -> DataFrame:
     return placed.where("pivot >= 0").groupBy("pivot").agg(F.percentile_approx("gap", parts, 1000).alias("edges"))
 
 
+def span(a: float, b: float, e: float) -> tuple[float, float, float]:
+    return math.sqrt(max(a * a - e, 0.0)), math.sqrt(b * b + e), e
+
+
 def ranges(spans: DataFrame) -> dict[int, tuple[float, float, float]]:
     """What ``Cells`` wants to know of each cell, from its least and largest gap ``a``, ``b`` and error ``e``."""
-    return {
-        r.cell: (math.sqrt(max(r.a * r.a - r.e, 0.0)), math.sqrt(r.b * r.b + r.e), r.e) for r in spans.collect()
-    }
+    return {r.cell: span(r.a, r.b, r.e) for r in spans.collect()}
 
 
-def visited(asked: DataFrame, pivots: Pivots, cells: Cells) -> DataFrame:
-    """collection, request_id, seq and vector, and the list ``cells`` that a request has to look at."""
+def each_visit(asked: DataFrame, index: Index) -> DataFrame:
+    """A row of the request and ``cell`` for each cell that it has to look at."""
+    ids, whole = index.cells.ids, index.cells.whole
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [[WHOLE] if cells.whole else [] for _ in range(batch.num_rows)]
-            for rows, number, squared, error in pivots.distances(batch["vector"]):
-                for row, kept in zip(rows, cells.visited(number, squared, error)):
-                    lists[row] += cells.ids[kept].tolist()
-            table = pa.Table.from_batches([batch])
-            yield from table.append_column("cells", pa.array(lists, pa.list_(pa.int32()))).to_batches()
+    def places(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.column_stack([np.full(len(keep), whole), keep])
+        rows, at = np.nonzero(keep)
+        return rows, np.r_[WHOLE, ids][at]
 
     # Visits to cells that a collection does not have meet no entries and disappear in the join.
-    return asked.mapInArrow(
-        visit,
-        "collection string, request_id string, seq long, vector array<double>, cells array<int>",
-    )
-
-
-def each_visit(found: DataFrame) -> DataFrame:
-    """A row of collection, request_id, seq, vector and cell for each cell that a request has to look at."""
-    return found.select("collection", "request_id", "seq", "vector", F.explode("cells").alias("cell"))
+    return with_numbers(asked, index, places, "cell")
 
 
 def lsh_cells(

@@ -13,8 +13,6 @@ What a task gets is a stripe of requests and the counts of its collection's cell
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,74 +23,65 @@ from echocache.operators import blockjoin, cells
 from echocache.scratch import materialize, spread
 
 MAX_PIVOTS = 1_024
-_ASKED = "collection string, request_id string, seq long, vector array<double>"
-_COUNTS = {"cell": "int", "n": "long", "a": "double", "b": "double", "e": "double"}
 
 
-def _bounds(pivots: cells.Pivots, stats: pa.Table, vectors: pa.Array, metric: str, k: int) -> tuple[cells.Cells, np.ndarray, list]:
-    """Cells of a collection, and for each request its bound and distances to pivots, in slices."""
+def _reach(pivots: cells.Pivots, between: np.ndarray, stats: pa.Table, vectors: pa.Array, metric: str, k: int) -> np.ndarray:
+    """For each request a bound on the distance of its k-th closest entry, from the counts of its collection's cells."""
     rows = stats.to_pydict()
-    used, counts = {}, {}
-    for cell, n, a, b, e in zip(*(rows[c] for c in _COUNTS)):
-        used[cell] = (math.sqrt(max(a * a - e, 0.0)), math.sqrt(b * b + e), e)
-        counts[cell] = n
-    known = cells.Cells(used, pivots.gaps(), 0.0)
+    known = cells.Cells({c: cells.span(*x) for c, *x in zip(rows["cell"], *(rows[x] for x in "abe"))}, between, 0.0)
+    counts = dict(zip(rows["cell"], rows["n"]))
     held = np.array([counts[c] for c in known.ids], float)
-    reach, parts = np.full(len(vectors), np.inf), []
+    reach = np.full(len(vectors), np.inf)
     for at, number, squared, error in pivots.distances(vectors):
-        parts.append((at, number, squared, error))
         place = np.full(pivots.n, -1)
         place[number] = np.arange(len(number))
         column = place[known.pivot]
         some = np.flatnonzero(column >= 0)
-        if len(some):
-            far = np.sqrt(np.maximum(squared, 0) + error)[:, column[some]] + known.most[some]
+        step = max(1, cells.NUMBERS // max(1, len(some)))
+        for lo in range(0, len(at) if len(some) else 0, step):
+            mine = slice(lo, lo + step)
+            far = np.sqrt(np.maximum(squared[mine], 0) + error[mine])[:, column[some]] + known.most[some]
             order = np.argsort(far, axis=1)
             enough = np.cumsum(held[some][order], axis=1) >= k
             bound = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), enough.argmax(axis=1)]
-            reach[at] = np.where(enough.any(axis=1), bound, np.inf)
+            reach[at[mine]] = np.where(enough.any(axis=1), bound, np.inf)
     # Closeness is compared after rounding, so entries a little farther can be as close.
-    return known, np.sqrt(reach * reach + 1e-11) if metric == "cosine" else reach * (1 + 1e-9) + 1e-12, parts
+    return np.sqrt(reach * reach + 1e-11) if metric == "cosine" else reach * (1 + 1e-9) + 1e-12
 
 
-def _visits(asked: DataFrame, stats: DataFrame, pivots: cells.Pivots, metric: str, k: int, block_rows: int) -> DataFrame:
-    """collection, request_id, seq, vector and the list ``cells`` of those that may hold one of the k closest."""
+def _asked(asked: DataFrame, stats: DataFrame, pivots: cells.Pivots, metric: str, k: int, block_rows: int) -> DataFrame:
+    """The requests with their ``reach``; that of a collection with fewer than k entries is infinite."""
     n = asked.groupBy("collection").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("stripes"))
     n = materialize(n, "stripes")
     left = asked.join(n, "collection").withColumn("stripe", F.pmod(F.xxhash64("request_id"), F.col("stripes")).cast("int"))
     right = stats.join(n, "collection").withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
+    between = pivots.gaps()
 
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
-        rows = rows.select(["collection", "request_id", "seq", "vector"])
-        lists: list[list[int]] = [[] for _ in range(rows.num_rows)]
-        if rows.num_rows and counts.num_rows:
-            vectors = rows["vector"].combine_chunks()
-            vectors = vectors if isinstance(vectors, pa.Array) else pa.concat_arrays(vectors.chunks)
-            known, reach, parts = _bounds(pivots, counts, vectors, metric, k)
-            lists = [[cells.WHOLE] if known.whole else [] for _ in lists]
-            for at, number, squared, error in parts:  # a bound may be infinite
-                for row, kept in zip(at, known.visited(number, squared, error, reach[at])):
-                    lists[row] += known.ids[kept].tolist()
-        return rows.append_column("cells", pa.array(lists, pa.list_(pa.int32())))
+        rows = rows.select(cells.ASKED[:-1])
+        reach = np.empty(0)
+        if rows.num_rows:
+            reach = _reach(pivots, between, counts, pa.concat_arrays(rows["vector"].chunks), metric, k)
+        return rows.append_column("reach", pa.array(reach, pa.float64()))
 
     block = ["collection", "stripe"]
     return (
         spread(left.drop("stripes"), block).groupBy(*block)
         .cogroup(spread(right.drop("stripes"), block).groupBy(*block))
-        .applyInArrow(run, f"{_ASKED}, cells array<int>")
+        .applyInArrow(run, cells.ASKED_DDL)
     )
 
 
 def cells_and_visits(*given) -> tuple[DataFrame, DataFrame]:
-    """``cells_and_lists`` with a row for each visit."""
-    found, placed = cells_and_lists(*given)
-    return cells.each_visit(found), placed
+    """The requests of ``indexed`` with a row for each cell that they look at, and the entries."""
+    found, placed, index = indexed(*given)
+    return cells.each_visit(found, index), placed
 
 
-def cells_and_lists(
+def indexed(
     requests: DataFrame, entries: DataFrame, k: int, metric: str, n_pivots: int | None, block_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """The requests with the cells that they visit, and the entries with their cells."""
+) -> tuple[DataFrame, DataFrame, cells.Index]:
+    """The requests with their ``reach``, the entries with their cells, and the index of these."""
     left = requests.select(
         F.col("collection").cast("string").alias("collection"), F.col("request_id").cast("string").alias("request_id"),
         F.col("seq").cast("long").alias("seq"), F.col("vector").cast(S.VECTOR).alias("vector"),
@@ -119,8 +108,9 @@ def cells_and_lists(
         "counts",
     )
     asked = even(left).select("collection", "request_id", "seq", "vector")
-    found = _visits(asked, stats, pivots, metric, k, block_rows)
-    return materialize(found, "visits"), placed.select("collection", "seq", "vector", "cell")
+    found = materialize(_asked(asked, stats, pivots, metric, k, block_rows), "asked")
+    spans = stats.groupBy("cell").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("e").alias("e"))
+    return found, placed, cells.Index(pivots, cells.ranges(spans))
 
 
 def nearest_k(
@@ -134,8 +124,8 @@ def nearest_k(
     if k < 1:
         raise ValueError("k must be at least 1")
     S.check_metric(metric)
-    found, held = cells_and_lists(requests, entries, k, metric, n_pivots, block_rows)
-    best = blockjoin.best_in_parts(found, held, metric, k, block_rows=block_rows)
+    found, held, index = indexed(requests, entries, k, metric, n_pivots, block_rows)
+    best = blockjoin.best_in_parts(found, held, index, metric, k, block_rows=block_rows)
     score = blockjoin.closeness_to_score(F.col("closeness"), metric)
     return (best if k > 1 else best.withColumn("place", F.lit(1))).withColumn("score", score).select(
         "collection", "request_id", "entry_seq", "score", F.col("place").cast("int").alias("place")

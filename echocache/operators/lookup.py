@@ -73,9 +73,9 @@ def nearest(
             pivots = None
     floor = blockjoin.closeness_floor(threshold, metric)
     if pivots is not None:
-        left, right = cells.pivot_lists(left, right, metric, threshold, pivots, block_rows)
-        left = materialize(left, "visits")
-        found = blockjoin.best_in_parts(left, right, metric, k, floor, before, block_rows)
+        left, right, rings = cells.pivot_index(left, right, metric, threshold, pivots, block_rows)
+        left = materialize(left, "asked")
+        found = blockjoin.best_in_parts(left, right, rings, metric, k, floor, before, block_rows)
     else:
         if index == "lsh" and entry_rows:
             length = bucket_length or 3 * cells.radius(S.DEFAULT_THRESHOLD if threshold is None else threshold, metric) or 1.0

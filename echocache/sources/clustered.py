@@ -230,14 +230,16 @@ class ClusteredStore(CacheStore):
     # Looking up
 
     def visits(self, requests: DataFrame, threshold: float, before: int | None = None) -> tuple[DataFrame, list[int]]:
-        """The requests with ``cells``, the list of those that each has to look at, and the list of all of them."""
+        """The requests with their ``reach``, and the list of all cells that some of them has to look at."""
+        return self._visits(requests, threshold, before)[:2]
+
+    def _visits(self, requests: DataFrame, threshold: float, before: int | None) -> tuple[DataFrame, list[int], cells.Index]:
         model = self.model()
-        ddl = "collection string, request_id string, seq long, vector array<double>, cells array<int>"
         if model is None:
-            return self.spark.createDataFrame([], ddl), []
+            return self.spark.createDataFrame([], cells.ASKED_DDL), [], cells.Index(cells.Pivots([], self.metric), {})
         spans = self._part("spans", _SPANS, model, before)
         spans = spans.groupBy("cell").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("e").alias("e"))
-        known = cells.Cells(cells.ranges(spans), model.pivots.gaps(), cells.radius(threshold, self.metric))
+        index = cells.Index(model.pivots, cells.ranges(spans))
         sizes = self._part("sizes", _SIZES, model, before).groupBy("collection").agg(
             F.min("low").alias("low"), F.max("high").alias("high")
         )
@@ -251,9 +253,9 @@ class ClusteredStore(CacheStore):
         asked = asked.join(sizes.where("low IS NOT NULL"), "collection").withColumn("vector", F.when(same, F.col("vector")).otherwise(uneven))
         if self.collection is not None:
             asked = asked.where(F.col("collection") == self.collection)
-        found = cells.visited(asked.select("collection", "request_id", "seq", "vector"), model.pivots, known)
-        found = materialize(found, "visits")
-        return found, sorted(r.cell for r in found.select(F.explode("cells").alias("cell")).distinct().collect())
+        reach = F.lit(cells.radius(threshold, self.metric))
+        found = materialize(asked.withColumn("reach", reach).select(*cells.ASKED), "asked")
+        return found, cells.any_looks_at(found, index), index
 
     def _current(self, some: list[int], before: int | None) -> DataFrame:
         return E.delete(self._held(before, some), self._read("deletes", S.KEY, before))
@@ -267,13 +269,15 @@ class ClusteredStore(CacheStore):
         ``earlier`` allows only entries with a smaller ``seq`` than the request; ``before`` is a batch.
         """
         S.check_threshold(threshold)
-        found, some = self.visits(requests, threshold, before)
-        return self._best(found, self._current(some, before), threshold, earlier, block_rows)
+        found, some, index = self._visits(requests, threshold, before)
+        return self._best(found, self._current(some, before), index, threshold, earlier, block_rows)
 
-    def _best(self, found: DataFrame, held: DataFrame, threshold: float, earlier: bool, block_rows: int) -> DataFrame:
-        held = held.select("collection", "seq", F.col("vector").cast(S.VECTOR).alias("vector"), "cell")
+    def _best(
+        self, found: DataFrame, held: DataFrame, index: cells.Index, threshold: float, earlier: bool, block_rows: int
+    ) -> DataFrame:
+        held = held.select("collection", "seq", F.col("vector").cast(S.VECTOR).alias("vector"), "cell", "gap", "error")
         floor = blockjoin.closeness_floor(threshold, self.metric)
-        best = blockjoin.best_in_parts(found, held, self.metric, 1, floor, earlier, block_rows)
+        best = blockjoin.best_in_parts(found, held, index, self.metric, 1, floor, earlier, block_rows)
         score: Column = blockjoin.closeness_to_score(F.col("closeness"), self.metric)
         return best.withColumn("score", score).drop("closeness")
 
@@ -283,7 +287,7 @@ class ClusteredStore(CacheStore):
     ) -> DataFrame:
         """``operators.lookup.lookup`` over the current entries: one row per request, texts from the visited cells."""
         S.check_threshold(threshold)
-        found, some = self.visits(requests, threshold, before)
+        found, some, index = self._visits(requests, threshold, before)
         held = self._current(some, before)
-        best = materialize(self._best(found, held, threshold, False, block_rows), "best")
+        best = materialize(self._best(found, held, index, threshold, False, block_rows), "best")
         return with_texts(requests, held, best)

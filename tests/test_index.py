@@ -1,0 +1,62 @@
+"""What a request has to look at is worked out in bounded slices, and no table has lists of cells."""
+
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from echocache.operators import blockjoin
+from echocache.operators import cells as C
+from echocache.sources.clustered import ClusteredStore
+from tests.test_clustered import asked_of, clustered_vectors, rows_of
+
+
+def batch_of(vectors, reach):
+    n = len(vectors)
+    ends = pa.array(np.arange(0, vectors.size + 1, vectors.shape[1]), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(["c"] * n), pa.array([f"r{i}" for i in range(n)]), pa.array(range(n), pa.int64()),
+         pa.ListArray.from_arrays(ends, pa.array(vectors.ravel())), pa.array(np.full(n, reach))], C.ASKED,
+    )
+
+
+def test_memory_of_a_batch_does_not_grow_with_the_cells_of_a_request():
+    rng = np.random.default_rng(4)
+    pivots = C.Pivots(rng.normal(size=(512, 4)).tolist(), "l2")
+    index = C.Index(pivots, {c: (0.0, 1.0, 1e-9) for c in range(512 * C.RINGS)})
+    layout = blockjoin.Layout({c: 10 for c in range(512 * C.RINGS)}, 1000)
+    batch = batch_of(rng.normal(size=(10_000, 4)), 100.0)  # all cells may hold a match
+    tracemalloc.start()
+    rows = parts = 0
+    for out in C._lists(iter([batch]), index, layout.places(index.cells.ids, index.cells.whole)):
+        rows, parts = rows + out.num_rows, parts + len(out["_numbers"].flatten())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Lists of 4,096 cells for 10,000 requests took more than a gigabyte.
+    assert rows == 10_000 and parts == rows * layout.n_parts and peak < 120e6
+
+
+def test_slices_and_parts_have_every_cell_looked_at(monkeypatch):
+    rng = np.random.default_rng(8)
+    pivots = C.Pivots(rng.normal(size=(20, 3)).tolist(), "l2")
+    held = {c: (0.1 * (c % 8), 0.1 * (c % 8 + 1), 1e-12) for c in range(0, 160, 3)}
+    index = C.Index(pivots, held | {C.WHOLE: (0.0, 0.0, 0.0)})
+    batch = batch_of(rng.normal(size=(300, 3)), 0.3)
+    whole = {i: k for rows, kept in index.looked_at(batch["vector"], batch["reach"].to_numpy()) for i, k in zip(rows, kept)}
+    monkeypatch.setattr(C, "NUMBERS", 64)
+    layout = blockjoin.Layout({C.WHOLE: 7} | {c: 5 + 40 * (c == 30) for c in held}, 12)
+    out = pa.Table.from_batches(C._lists(iter([batch]), index, layout.places(index.cells.ids, True)))
+    spans = layout.spans
+    for i, found in enumerate(out["_numbers"].to_pylist()):
+        mine = [C.WHOLE, *index.cells.ids[whole[i]]]
+        assert found == sorted({p for c in mine for p in range(spans[c][0], sum(spans[c]))})
+    assert 0 < np.mean(list(whole.values())) < 0.9
+
+
+def test_requests_of_a_stored_index_carry_no_lists(spark, tmp_path):
+    store = ClusteredStore(spark, str(tmp_path / "store"))
+    store.append(rows_of(spark, clustered_vectors(2, 90)), 0)
+    found, some = store.visits(asked_of(spark, clustered_vectors(2, 20)), 0.9)
+    assert found.columns == C.ASKED and found.agg(F.max("reach")).first()[0] == C.radius(0.9, "cosine")
+    assert set(some) <= {r.cell for r in store._held().select("cell").distinct().collect()}
