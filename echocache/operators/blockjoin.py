@@ -29,6 +29,9 @@ PARTS, VALUES = 8, 1 << 23
 # Cosines are compared after rounding to this many decimals, distances to as many significant digits.
 SCORE_DECIMALS = 12
 _SLICE_CELLS = 4_000_000
+# Widest vectors multiplied in single precision, the share of pairs from which they are all scored in full, and the rows that are
+# tried first for a match.
+MAX_SINGLE, DENSE, FIRST_TRIED = 4_096, 0.03, 256
 
 # Numbers of the table of requests by cells that a task holds, and the share of pairs looked at from which all are compared.
 LOOKED_AT, MOST = 1 << 24, 0.5
@@ -102,16 +105,55 @@ def exact_closeness(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndar
     return significant(-np.array(gaps).reshape(len(left), len(right)))
 
 
-def _rescore(left, right, rows, cols, metric, approximate) -> np.ndarray:
-    """Exact closeness of the few chosen pairs; the distance formula above cancels digits."""
-    if metric == "cosine":
-        return np.round(approximate, SCORE_DECIMALS)
+def _rescore(left, right, rows, cols, metric) -> np.ndarray:
+    """Exact closeness of the few chosen pairs: single precision, and the distance formula above, lose digits."""
+    if metric == "cosine" and len(rows) > DENSE * len(left) * len(right):
+        return np.round((left @ right.T)[rows, cols], SCORE_DECIMALS)
     exact = np.empty(len(rows))
     step = max(1, _SLICE_CELLS // max(1, left.shape[1]))
     for lo in range(0, len(rows), step):
-        gap = left[rows[lo : lo + step]] - right[cols[lo : lo + step]]
-        exact[lo : lo + step] = -(gap * gap).sum(axis=1)
-    return significant(exact)
+        mine, other = left[rows[lo : lo + step]], right[cols[lo : lo + step]]
+        if metric == "cosine":
+            exact[lo : lo + step] = np.einsum("ij,ij->i", mine, other)
+        else:
+            exact[lo : lo + step] = -((mine - other) ** 2).sum(axis=1)
+    return np.round(exact, SCORE_DECIMALS) if metric == "cosine" else significant(exact)
+
+
+class _Products:
+    """Closeness of slices of two blocks in a precision that is fast, and how far it may be off.
+
+    Points of length one are multiplied in single precision: their product of n numbers is within (n + 3) / 2^24 of the
+    exact one. What may be the best by that is scored again in full.
+    """
+
+    def __init__(self, left, right, metric, left_seq, right_seq):
+        self.left, self.right, self.metric = left, right, metric
+        #: How many of the first right rows each left row may be compared with.
+        self.ends = np.full(len(left), len(right)) if left_seq is None else np.searchsorted(right_seq, left_seq)
+        single = metric == "cosine" and left.shape[1] <= MAX_SINGLE
+        self.quick = (left.astype(np.float32), right.astype(np.float32)) if single else (left, right)
+        self.error = 1e-12 + 1.02 * (left.shape[1] + 3) * 2.0**-24 if single else 1e-12
+        if metric != "cosine" and len(left) and len(right):
+            self.error *= 1.0 + (left * left).sum(axis=1).max() + (right * right).sum(axis=1).max()
+
+    def near(self, mine: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Closeness of some left rows with the right rows from ``lo`` to ``hi``; minus infinity where there is none to be."""
+        near = closeness(self.quick[0][mine], self.quick[1][lo:hi], self.metric)
+        ends = self.ends[mine]
+        if (first := max(lo, ends.min())) < hi:
+            near[:, first - lo :][np.arange(first, hi)[None, :] >= ends[:, None]] = -np.inf
+        return near
+
+    def reaching(self, near: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of what is at the limit of its row or above, or may be."""
+        limit = limit - 2 * self.error
+        if near.dtype == np.float32:  # not compared as doubles, which would copy all
+            limit = np.nextafter(limit.astype(np.float32), np.float32(-np.inf))
+        return np.nonzero((near >= limit[:, None]) & (near > -np.inf))
+
+    def exact(self, mine: np.ndarray, rows: np.ndarray, cols: np.ndarray, hi: int) -> np.ndarray:
+        return _rescore(self.left[mine], self.right[:hi], rows, cols, self.metric)
 
 
 def best_pairs(left, right, metric, k, floor, left_seq=None, right_seq=None):
@@ -120,35 +162,70 @@ def best_pairs(left, right, metric, k, floor, left_seq=None, right_seq=None):
     Ties go to the first right row, so ``right`` must be in list order. With ``left_seq`` and
     ``right_seq`` only strictly earlier right rows are considered.
     """
-    found = []
-    n = len(right)
-    k = min(k, n)
-    step = max(1, _SLICE_CELLS // max(1, n))
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    products = _Products(left, right, metric, left_seq, right_seq)
+    order = np.argsort(products.ends, kind="stable")
+    step = max(1, _SLICE_CELLS // max(1, len(right)))
     for lo in range(0, len(left), step):
-        part = left[lo : lo + step]
-        near = closeness(part, right, metric)
-        if left_seq is not None:
-            near[right_seq[None, :] >= left_seq[lo : lo + step, None]] = -np.inf
-        slack = 1e-12
-        if metric != "cosine":
-            slack *= 1.0 + (part * part).sum(axis=1).max() + (right * right).sum(axis=1).max()
-        cut = near.max(axis=1) if k == 1 else np.partition(near, n - k, axis=1)[:, n - k]
-        cut = np.maximum(cut, floor) - slack
-        rows, cols = np.nonzero((near >= cut[:, None]) & (near > -np.inf))
-        exact = _rescore(part, right, rows, cols, metric, near[rows, cols])
+        mine = order[lo : lo + step]
+        hi = int(products.ends[mine[-1]])
+        if not hi:
+            continue
+        near = products.near(mine, 0, hi)
+        cut = most = near.max(axis=1)
+        if k > 1 and hi > 1:
+            cut = np.partition(near, hi - min(k, hi), axis=1)[:, hi - min(k, hi)]
+        some = np.flatnonzero(most >= floor - 2 * products.error)
+        near = near if len(some) == len(mine) else near[some]
+        mine = mine[some]
+        rows, cols = products.reaching(near, np.maximum(cut[some].astype(float), floor))
+        exact = products.exact(mine, rows, cols, hi)
         keep = exact >= floor
         rows, cols, exact = rows[keep], cols[keep], exact[keep]
-        order = np.lexsort((cols, -exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = place < k
-        found.append((rows[keep] + lo, cols[keep], exact[keep]))
-    if not found:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
+        order_of = np.lexsort((cols, -exact, rows))
+        rows, cols, exact = rows[order_of], cols[order_of], exact[order_of]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        found.append((mine[rows[keep]], cols[keep], exact[keep]))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def _block_kernel(metric: str, k: int, floor: float, before: bool):
+def some_pairs(left, right, metric, floor, left_seq=None, right_seq=None):
+    """For each left row that has a right row at or above ``floor`` one such pair, as from ``best_pairs``; not the closest.
+
+    A row that has one is not compared on, so this takes about as many pairs as it takes to find the first.
+    """
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    products = _Products(left, right, metric, left_seq, right_seq)
+    waiting, lo, width = np.argsort(products.ends, kind="stable"), 0, FIRST_TRIED
+    while len(waiting) and lo < len(right):
+        hi = min(lo + width, len(right))
+        waiting = waiting[products.ends[waiting] > lo]
+        left_over = []
+        step = max(1, _SLICE_CELLS // (hi - lo))
+        for at in range(0, len(waiting), step):
+            mine = waiting[at : at + step]
+            near = products.near(mine, lo, hi)
+            some = np.flatnonzero(near.max(axis=1) >= floor - 2 * products.error)
+            # The first by fast products is mostly one; where it is not, all that may be are looked at.
+            cols = near[some].argmax(axis=1) + lo
+            exact = products.exact(mine, some, cols, hi)
+            sure = exact >= floor
+            found.append((mine[some[sure]], cols[sure], exact[sure]))
+            open_ = some[~sure]
+            rows, more = products.reaching(near[open_], np.full(len(open_), floor))
+            exact = products.exact(mine[open_], rows, more + lo, hi)
+            rows, more, exact = (x[exact >= floor] for x in (rows, more, exact))
+            rows, first = np.unique(rows, return_index=True)
+            found.append((mine[open_[rows]], more[first] + lo, exact[first]))
+            rest = np.ones(len(mine), bool)
+            rest[some[sure]] = rest[open_[rows]] = False
+            left_over.append(mine[rest])
+        waiting = np.concatenate(left_over) if left_over else waiting[:0]
+        lo, width = hi, min(4 * width, BLOCK_ROWS)
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def _block_kernel(metric: str, k: int, floor: float, before: bool, closest: bool = True):
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table(
@@ -161,10 +238,9 @@ def _block_kernel(metric: str, k: int, floor: float, before: bool):
             raise ValueError(S.VECTOR_DIMENSION)
         entry_seq = right["seq"].to_numpy()
         request_seq = left["seq"].to_numpy() if before else None
-        rows, cols, near = best_pairs(
-            points(requests, metric), points(entries, metric), metric, k, floor,
-            request_seq, entry_seq if before else None,
-        )
+        both = points(requests, metric), points(entries, metric), metric
+        seqs = request_seq, entry_seq if before else None
+        rows, cols, near = best_pairs(*both, k, floor, *seqs) if closest else some_pairs(*both, floor, *seqs)
         return pa.table(
             {"collection": pa.array([key[0].as_py()] * len(rows), pa.string()),
              "request_id": left["request_id"].combine_chunks().take(pa.array(rows)).cast(pa.string()),
@@ -202,13 +278,14 @@ def best_in_cells(
     block_rows: int = BLOCK_ROWS,
     fits_block: bool = False,
     repeats: bool = False,
+    closest: bool = True,
 ) -> DataFrame:
     """The k closest entries of each request over the cells it shares with them.
 
     ``requests``: collection, cell, request_id, seq, vector. ``entries``: collection, cell, seq,
     vector. Returns collection, request_id, entry_seq, closeness and, for k > 1, place.
     ``fits_block``: the caller counted both sides, and each fits one block. ``repeats``: a request
-    and an entry may share several cells.
+    and an entry may share several cells. Without ``closest`` (for k = 1) a request gets some entry of those that pass.
     """
     cell = ["collection", "cell"]
     sizes = None
@@ -242,7 +319,7 @@ def best_in_cells(
     local = (
         spread(left, block).groupBy(*block)
         .cogroup(spread(right, block).groupBy(*block))
-        .applyInArrow(_block_kernel(metric, k, floor, before), _MATCH)
+        .applyInArrow(_block_kernel(metric, k, floor, before, closest), _MATCH)
     )
     return _merged(local, k, repeats)
 

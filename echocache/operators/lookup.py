@@ -38,6 +38,7 @@ def nearest(
     tables: int = 20,
     projections: int = 8,
     bucket_length: float | None = None,
+    closest: bool = True,
 ) -> DataFrame:
     """Closest entries of each request that pass the threshold; ties go to the earliest entry.
 
@@ -48,6 +49,7 @@ def nearest(
     entries fill more than a few blocks and a few rows tried out show that enough pairs go.
     ``block_rows`` are the rows of a block; unless the index is ``none`` or ``lsh``, larger tables have larger
     blocks, so that a row is sent to ``blockjoin.PARTS`` of them while their vectors fit a task.
+    Without ``closest`` a request with a match gets any entry that passes, mostly in far fewer comparisons.
     ``bucket_length`` of LSH is by default three times the distance at the threshold.
     """
     S.check_metric(metric)
@@ -57,6 +59,8 @@ def nearest(
         raise ValueError(f"unknown index '{index}'. Supported: {', '.join(INDEXES)}")
     if k < 1:
         raise ValueError("k must be at least 1")
+    if not closest and (k > 1 or threshold is None):
+        raise ValueError("any entry that passes is one, and needs a threshold")
     left = _wanted(requests, "collection", "request_id", "seq")
     right = _wanted(entries, "collection", "seq")
     if index == "pivots" and threshold is None:
@@ -87,7 +91,7 @@ def nearest(
             left, right = cells.one_cell(left), cells.one_cell(right)
             fits_block = max(request_rows, entry_rows) <= block_rows
         found = blockjoin.best_in_cells(
-            left, right, metric, k, floor, before, block_rows, fits_block, repeats=index == "lsh"
+            left, right, metric, k, floor, before, block_rows, fits_block, repeats=index == "lsh", closest=closest,
         )
     return found.withColumn(
         "score", blockjoin.closeness_to_score(F.col("closeness"), metric)

@@ -5,7 +5,7 @@ close enough; otherwise it is stored. Deciding this one by one is the greedy, le
 first maximal independent set of the "close enough" graph. Here it runs in rounds
 (Blelloch, Fineman & Shun, SPAA 2012): a request with an earlier stored neighbour is a hit, one
 without an earlier undecided neighbour is stored. No edge is ever written out: each round asks the
-block join only for the best earlier match of a request.
+block join only for some earlier match of a request, which compares no further when it has one.
 
 In every round the earliest rows of each collection, at most ``block_rows`` of them by rank, are also
 settled one by one in a task of that size. This finishes small collections at once and bounds the
@@ -47,7 +47,7 @@ def _greedy_kernel(metric: str, floor: float):
             kept = rows[:lo][stored[:lo]]
             hit = np.zeros(len(part), dtype=bool)
             if len(kept):
-                hit[blockjoin.best_pairs(part, kept, metric, 1, floor)[0]] = True
+                hit[blockjoin.some_pairs(part, kept, metric, floor)[0]] = True
             near = blockjoin.exact_closeness(part, part, metric) >= floor
             fresh = np.zeros(len(part), dtype=bool)
             for i in np.flatnonzero(~hit):
@@ -67,7 +67,7 @@ def _as_requests(rows: DataFrame) -> DataFrame:
 
 def _matched(rows: DataFrame, entries: DataFrame, before: bool, **options) -> DataFrame:
     """Keys of the rows that have a close enough entry."""
-    found = nearest(_as_requests(rows), entries, before=before, **options)
+    found = nearest(_as_requests(rows), entries, before=before, closest=False, **options)
     return found.select("collection", F.col("request_id").cast("long").alias("seq"))
 
 
