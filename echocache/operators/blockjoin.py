@@ -32,6 +32,8 @@ _SLICE_CELLS = 4_000_000
 # Widest vectors multiplied in single precision, the share of pairs from which they are all scored in full, and the rows that are
 # tried first for a match.
 MAX_SINGLE, DENSE, FIRST_TRIED = 4_096, 0.03, 256
+# Rows of either side in a tile of products.
+TILE = (512, 2_048)
 
 # Numbers of the table of requests by cells that a task holds, and the share of pairs looked at from which all are compared.
 LOOKED_AT, MOST = 1 << 24, 0.5
@@ -152,8 +154,8 @@ class _Products:
             limit = np.nextafter(limit.astype(np.float32), np.float32(-np.inf))
         return np.nonzero((near >= limit[:, None]) & (near > -np.inf))
 
-    def exact(self, mine: np.ndarray, rows: np.ndarray, cols: np.ndarray, hi: int) -> np.ndarray:
-        return _rescore(self.left[mine], self.right[:hi], rows, cols, self.metric)
+    def exact(self, mine: np.ndarray, rows: np.ndarray, cols: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        return _rescore(self.left[mine], self.right[lo:hi], rows, cols, self.metric)
 
 
 def best_pairs(left, right, metric, k, floor, left_seq=None, right_seq=None):
@@ -162,8 +164,10 @@ def best_pairs(left, right, metric, k, floor, left_seq=None, right_seq=None):
     Ties go to the first right row, so ``right`` must be in list order. With ``left_seq`` and
     ``right_seq`` only strictly earlier right rows are considered.
     """
-    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
     products = _Products(left, right, metric, left_seq, right_seq)
+    if k == 1:
+        return _best(products, floor)
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
     order = np.argsort(products.ends, kind="stable")
     step = max(1, _SLICE_CELLS // max(1, len(right)))
     for lo in range(0, len(left), step):
@@ -173,13 +177,13 @@ def best_pairs(left, right, metric, k, floor, left_seq=None, right_seq=None):
             continue
         near = products.near(mine, 0, hi)
         cut = most = near.max(axis=1)
-        if k > 1 and hi > 1:
+        if hi > 1:
             cut = np.partition(near, hi - min(k, hi), axis=1)[:, hi - min(k, hi)]
         some = np.flatnonzero(most >= floor - 2 * products.error)
         near = near if len(some) == len(mine) else near[some]
         mine = mine[some]
         rows, cols = products.reaching(near, np.maximum(cut[some].astype(float), floor))
-        exact = products.exact(mine, rows, cols, hi)
+        exact = products.exact(mine, rows, cols, 0, hi)
         keep = exact >= floor
         rows, cols, exact = rows[keep], cols[keep], exact[keep]
         order_of = np.lexsort((cols, -exact, rows))
@@ -189,6 +193,29 @@ def best_pairs(left, right, metric, k, floor, left_seq=None, right_seq=None):
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
+def _best(products: _Products, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_pairs`` for one of each row: in tiles that stay near the processor, of which a row's best so far leaves few to score."""
+    best, place = np.full(len(products.left), -np.inf), np.full(len(products.left), -1)
+    order = np.argsort(products.ends, kind="stable")
+    for at in range(0, len(order), TILE[0]):
+        mine = order[at : at + TILE[0]]
+        for lo in range(0, last := int(products.ends[mine[-1]]), TILE[1]):
+            hi = min(lo + TILE[1], last)
+            near = products.near(mine, lo, hi)
+            most = near.max(axis=1).astype(float)
+            some = np.flatnonzero(most >= np.maximum(best[mine], floor) - 2 * products.error)
+            rows, cols = products.reaching(near[some], np.maximum(np.maximum(best[mine], most), floor)[some])
+            exact = products.exact(mine[some], rows, cols, lo, hi)
+            rows, cols, exact = (x[exact >= floor] for x in (mine[some[rows]], cols + lo, exact))
+            first = np.lexsort((cols, -exact, rows))
+            first = first[np.unique(rows[first], return_index=True)[1]]
+            # Of equals the one of an earlier tile stays.
+            first = first[exact[first] > best[rows[first]]]
+            best[rows[first]], place[rows[first]] = exact[first], cols[first]
+    found = np.flatnonzero(place >= 0)
+    return found, place[found], best[found]
+
+
 def some_pairs(left, right, metric, floor, left_seq=None, right_seq=None):
     """For each left row that has a right row at or above ``floor`` one such pair, as from ``best_pairs``; not the closest.
 
@@ -207,13 +234,13 @@ def some_pairs(left, right, metric, floor, left_seq=None, right_seq=None):
             near = products.near(mine, lo, hi)
             some = np.flatnonzero(near.max(axis=1) >= floor - 2 * products.error)
             # The first by fast products is mostly one; where it is not, all that may be are looked at.
-            cols = near[some].argmax(axis=1) + lo
-            exact = products.exact(mine, some, cols, hi)
+            cols = near[some].argmax(axis=1)
+            exact = products.exact(mine, some, cols, lo, hi)
             sure = exact >= floor
-            found.append((mine[some[sure]], cols[sure], exact[sure]))
+            found.append((mine[some[sure]], cols[sure] + lo, exact[sure]))
             open_ = some[~sure]
             rows, more = products.reaching(near[open_], np.full(len(open_), floor))
-            exact = products.exact(mine[open_], rows, more + lo, hi)
+            exact = products.exact(mine[open_], rows, more, lo, hi)
             rows, more, exact = (x[exact >= floor] for x in (rows, more, exact))
             rows, first = np.unique(rows, return_index=True)
             found.append((mine[open_[rows]], more[first] + lo, exact[first]))
