@@ -35,6 +35,7 @@ def test_best_pairs(monkeypatch, metric, floor, k, before):
     for cells, dense in ((4_000_000, 0.03), (700, 1.0), (700, 0.0)):
         monkeypatch.setattr(B, "_SLICE_CELLS", cells)
         monkeypatch.setattr(B, "DENSE", dense)
+        monkeypatch.setattr(B, "TILE", (512, 2_048) if cells > 700 else (7, 11))
         got = list(zip(*(x.tolist() for x in B.best_pairs(left, right, metric, k, floor, *seqs))))
         assert len(got) == len(want)
         assert {(i, j) for i, j, _ in got} == {(i, j) for i, j, _ in want}
